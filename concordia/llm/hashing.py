@@ -42,8 +42,9 @@ def runs(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[keep], ends[keep]
 
 
-def tokens(data: bytes, classes: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class, first byte, length) of each run of a nonzero class; classes and lower are tables over bytes.
+def tokens(data: bytes, classes: np.ndarray, lower: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash, class, first byte, length, hash of each head) of each run of a nonzero class; classes and lower are tables over bytes,
+    a head is so many bytes at a run's start.
 
     Worked off in blocks that end at a class-0 byte, so memory follows the block and not the text.
     """
@@ -60,10 +61,12 @@ def tokens(data: bytes, classes: np.ndarray, lower: np.ndarray) -> tuple[np.ndar
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((lower[part].astype(np.uint64) + np.uint64(1)) * pw[: len(part)], out=total[1:])
         h = mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64))
-        out.append((h, kind[s], part[s], e - s))
+        top = [mix((total[np.minimum(e, s + k)] - total[s]) * inv[s] + np.uint64(k << 32)) for k in heads]
+        out.append((h, kind[s], part[s], e - s, *top))
         at = end
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        none = [np.zeros(0, np.uint64) for _ in heads]
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.int64), *none
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
