@@ -62,10 +62,11 @@ def _with_windows(df: DataFrame, n: int) -> DataFrame:
 
 def _located(df: DataFrame, key: str, text: str, n: int, ws: Workspace | None = None, name: str = "") -> DataFrame:
     """(key, pos, h) of all windows, or with ws also their tokens and the fillers of their slots, but of no window with too many slots."""
-    df = df.select(key, _words(F.col(text)).alias("_w")).withColumn("_t", _template(F.col("_w"))).where(F.size("_t") >= n)
+    df = df.select(key, _words(F.col(text)).alias("_w")).withColumn("_t", _template(F.col("_w")))
     df = _with_windows(df, n)
     if ws is None:
-        return df.select(key, F.explode("_h").alias("h"))
+        # outer: for explode() the optimizer adds a filter on the array and pushes it down, with all that makes the array copied in
+        return df.select(key, F.explode_outer("_h").alias("h"))
     df = ws.cut(df, name)  # else the optimizer would put the split of the text into the function over its windows
     w, t, h = F.col("_w"), F.col("_t"), F.col("_h")
 
