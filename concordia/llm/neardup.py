@@ -1,13 +1,15 @@
 """Near duplicates by bottom-k sketches of one hash function.
 
 1. Each text becomes its set of shingle hashes; equal sets collapse into one class by a 128-bit digest, so copies cost no pairs.
-2. The k least hashes are its sketch. If Jaccard is 0.75 or more, the least k values of the union hold SHARED common ones or
-   more but for a chance of about 1e-6 at 0.75 exactly (binomial, 5 standard deviations), and less above. So two sketches have
-   to meet among the rarest values that exceed k - SHARED in number: only those make inverted lists, and what thousands of
+2. The k least hashes are its sketch. If Jaccard is 0.75 or more, the least k values of the union hold least_shared(k)
+   common ones or more but for a chance of about 1e-6 at 0.75 exactly (binomial, 5 standard deviations), and less above. So two sketches have
+   to meet among the rarest values that exceed k - least_shared(k) in number: only those make inverted lists, and what thousands of
    documents share drops out of the lists of texts that have enough values of their own. Sets below k / 0.75 are exact here.
 3. Lists are kept by value and size level, as sizes of linked sets differ by a third at most. A list never makes all its pairs:
-   its members meet its least member, then, once components are known, the members outside the list's largest component meet
-   all that are of another component. Pairs inside a component decide nothing.
+   its members meet its least member; then, once components are known, those outside the list's largest component meet one
+   member of it, another for each list; then those still outside meet all that are of another component. Pairs inside a component
+   decide nothing. Documents that are still apart in a crowded list, as passages make them, first get a larger sketch, whose
+   margin of chance is smaller: a passage then brings only documents together that it fills by two thirds or more.
 4. The union's sketch estimates Jaccard and drops far pairs; full sets decide on the rest.
 
 Odd rows: a null or empty text has an empty set and is kept, linked with nothing; repeated rows are copies; rows with the same
@@ -28,9 +30,16 @@ from pyspark.sql.window import Window
 from . import hashing as H
 from .workspace import Workspace, arrow_batches, select_ids
 
-K, SHINGLE, NEAR = 96, 5, 75
-#: 0.75 K less five standard deviations.
-SHARED = 50
+#: Sketch size, and the larger one of documents in crowded lists.
+K, K_CROWDED, SHINGLE, NEAR = 96, 512, 5, 75
+#: Lists up to this length make their open pairs at once; documents of longer ones meet by larger sketches.
+CROWDED = 64
+
+
+def least_shared(k: int, near: int = NEAR) -> int:
+    """Common values among the k least of a union whose Jaccard is near percent: the mean less five standard deviations."""
+    p = near / 100
+    return int(p * k - 5 * math.sqrt(k * p * (1 - p)))
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -87,7 +96,7 @@ def verified(ws: Workspace, name: str, pairs: DataFrame, nodes: DataFrame, docs:
     shared = F.size(F.array_intersect(F.array_intersect("k_a", "k_b"), "u"))
     whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
     both = F.size(F.array_intersect("k_a", "k_b"))
-    p = p.where(F.when(whole, 100 * both >= near * (F.col("n_a") + F.col("n_b") - both)).otherwise(k * shared >= SHARED * F.size("u")))
+    p = p.where(F.when(whole, 100 * both >= near * (F.col("n_a") + F.col("n_b") - both)).otherwise(k * shared >= least_shared(k, near) * F.size("u")))
     p = ws.cut(p.select("a", "b", whole.alias("sure")), f"{name}_near")
     rest = p.where(~F.col("sure"))
     ends = rest.select(F.col("a").alias("doc_id")).unionByName(rest.select(F.col("b").alias("doc_id"))).distinct()
@@ -127,7 +136,7 @@ def _lists(nodes: DataFrame, k: int, near: int) -> DataFrame:
     often = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     posts = posts.join(often, "v")
     kept = F.least(F.col("n"), F.lit(k))
-    need = F.when(F.col("n") * 100 <= near * k, F.ceil(F.col("n") * near / 100)).otherwise(F.least(F.lit(SHARED), F.ceil(F.col("n") * near / 100)))
+    need = F.when(F.col("n") * 100 <= near * k, F.ceil(F.col("n") * near / 100)).otherwise(F.least(F.lit(least_shared(k, near)), F.ceil(F.col("n") * near / 100)))
     w = Window.partitionBy("doc_id", "n")
     rank = F.row_number().over(w.orderBy("df", "v")) + kept - F.count("*").over(w)
     posts = posts.withColumn("rank", rank).where(F.col("rank") <= kept - need + 1)
@@ -136,6 +145,27 @@ def _lists(nodes: DataFrame, k: int, near: int) -> DataFrame:
     return posts.select(F.xxhash64("v", "level").alias("key"), "doc_id")
 
 
+def _apart(ws: Workspace, name: str, lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, doc_id, comp, main, size) of lists that hold several components; main is the largest of them.
+
+    Of lists with the same members, as the values of one passage have, one stands for all.
+    """
+    placed = ws.cut(lists.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), f"{name}_placed")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("size")).where("parts > 1")
+    alike = placed.join(parts.select("key"), "key").groupBy("key").agg(F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(2))).alias("y"), F.count("*").alias("m"))
+    one = alike.groupBy("x", "y", "m").agg(F.min("key").alias("key")).select("key")
+    return ws.cut(placed.join(parts.drop("parts").join(one, "key"), "key"), f"{name}_apart")
+
+
+def _cross(apart: DataFrame) -> DataFrame:
+    """(a, b): the members outside a list's main component with all of other components."""
+    rest = apart.where("comp != main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
+    other = apart.select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("inside"))
+    pairs = rest.join(other, "key").where((F.col("cx") != F.col("cy")) & (F.col("inside") | (F.col("x") < F.col("y"))))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def classes(docs: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id long, text)."""
     spark = docs.sparkSession
@@ -153,14 +183,17 @@ def classes(docs: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
     stars = ws.cut(lists.join(heads, "key").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
     links = verified(ws, "star", stars, nodes, named, k, near)
     comp = components(ws, "first", links)
-    placed = lists.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = ws.cut(placed.join(parts, "key"), "open")
-    rest = placed.where("comp != main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
-    other = placed.select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("inside"))
-    cross = rest.join(other, "key").where((F.col("cx") != F.col("cy")) & (F.col("inside") | (F.col("x") < F.col("y"))))
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    apart = _apart(ws, "second", lists, comp)
+    other = apart.where("comp = main").groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("y"))
+    second = apart.where("comp != main").join(other, "key").select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")).distinct()
+    second = ws.cut(ws.cut(second, "second_all").join(stars, ["a", "b"], "left_anti"), "second")
+    links = ws.cut(links.unionByName(verified(ws, "second", second, nodes, named, k, near)), "links")
+    comp = components(ws, "middle", links)
+    apart = _apart(ws, "third", lists, comp)
+    crowd = ws.cut(apart.where(F.col("size") > CROWDED).select("doc_id").distinct(), "crowd")
+    large = ws.cut(_sketched(select_ids(named, crowd, "left_semi"), K_CROWDED).dropDuplicates(["hi", "lo"]).select("doc_id", "n", "sketch"), "large")
+    wide = _apart(ws, "fourth", ws.cut(_lists(large, K_CROWDED, near), "lists_large"), comp)
+    cross = _cross(apart.where(F.col("size") <= CROWDED)).unionByName(_cross(wide)).distinct()
     more = verified(ws, "cross", ws.cut(cross, "cross"), nodes, named, k, near)
     # copies of one set under several keys, and keys that stand for several sets, are links too
     same = rows.where("n > 0").join(sets.where("m > 1").select("hi", "lo", "rep"), ["hi", "lo"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b")
@@ -169,7 +202,8 @@ def classes(docs: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = _sketched(filled.where(F.col("doc_id").isNull()), k).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     out = ws.cut(out.unionByName(nameless), "result")
-    ws.drop("rows", "classes", "lists", "stars", "star_near", "star_links", "open", "cross", "cross_near", "cross_links")
+    ws.drop("rows", "classes", "lists", "lists_large", "large", "crowd", "stars", "links", "second", "second_all", "cross")
+    ws.drop(*(f"{x}_{y}" for x in ("star", "second", "cross") for y in ("near", "links")), *(f"{x}_{y}" for x in ("second", "third", "fourth") for y in ("placed", "apart")))
     return out
 
 

@@ -1,0 +1,167 @@
+"""Operators against plain Python on a small table with odd rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from concordia.llm import decontam, langid, neardup, packing, quality_clf, quality_rules, secret_scan, sharding, tokenstore, toxicity
+from concordia.llm.queries import tokenizer
+
+DATA = "/root/testdata/sf0.001"
+ODD = [(900001, None), (900002, ""), (900003, "   \n\t"), (900004, "one"), (900004, "one"), (None, "no key at all"), (900005, "Ab cD ef " * 3000), (900006, "日本 é ² <|endoftext|> x")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
+    odd = spark.createDataFrame([(k, t, None, "odd", 0) for k, t in ODD], base.schema)
+    return base.unionByName(odd).selectExpr("*", "'clash' AS shard", "1 AS score", "true AS kept").cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def words(t):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+
+
+def test_secret_scan(docs, rows):
+    rx = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    got = collections.Counter((r["doc_id"], r["base_sha256"]) for r in secret_scan.digest(docs).collect())
+    want = collections.Counter()
+    for k, t in rows:
+        found = [(m.start(), 0, m.end()) for m in rx.finditer(t) if len(m[2]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        want[k, hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[n]}:{s}:{e}" for s, n, e in sorted(found)).encode()).hexdigest()] += 1
+    assert got == want
+
+
+def test_entropy_and_redaction(spark):
+    key = "aX9k2LmQ7zR4tV8wB1nC5dF0"
+    df = spark.createDataFrame([(1, f"key is {key} ok"), (2, "a plain_word_list_of_lower_case_words here"), (3, 'password = "hunter2hunter2" é')], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.digest(df).collect()}
+    assert out == {1: f"entropy:7:{7 + len(key)}", 2: "", 3: "assign:0:26"}
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert key not in red[1] and red[1].startswith("key is [SECRET]") and red[3] == '[SECRET]" é'
+
+
+def test_quality_rules(docs, rows):
+    got = collections.Counter(tuple(r)[:7] for r in quality_rules.digest(docs).collect())
+    want = collections.Counter()
+    for k, t in rows:
+        w = words(t)
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        hit = {i + j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+        want[k, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit), failed] += 1
+    assert got == want
+
+
+def test_near_duplicates(docs, rows):
+    sets = collections.defaultdict(list)
+    for k, t in rows:
+        w = words(t.translate({i: i + 32 for i in range(65, 91)}))
+        sets[k].append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    ids = [k for k in sets if k is not None]
+    comp = {k: k for k in ids}
+    linked = True
+    while linked:
+        linked = False
+        for a in ids:
+            for b in ids:
+                x, y = sets[a][0], sets[b][0]
+                if a < b and comp[a] != comp[b] and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+                    linked = True
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.classes(docs).collect()), key=repr)
+    want = sorted(((k, len(s), comp.get(k), k is None or comp[k] == k) for k in sets for s in sets[k]), key=repr)
+    assert got == want
+
+
+def encoded(name, text, end):
+    from tokenizers import Tokenizer
+
+    return np.array(Tokenizer.from_file(tokenizer(name)).encode(text, add_special_tokens=False).ids + [end], "<u4")
+
+
+def test_token_store(docs, rows):
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenstore.digest(docs, tokenizer("word_bpe_49k.json")).collect())
+    at, want = 0, []
+    for k, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = encoded("word_bpe_49k.json", t, 1)
+        want.append((at, k, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+
+
+def test_shard_lookup():
+    blob = tokenstore.pack([None, 3, 3, 7, 2**40], [np.array(x, "<u4").tobytes() for x in ([1], [2, 3], [], [4], [5, 6, 7])])
+    s = tokenstore.Shard(blob)
+    assert [a.tolist() for a in s.get(3)] == [[2, 3], []] and s.get(5) == [] and s.get(2**40)[0].tolist() == [5, 6, 7] and s.get(None)[0].tolist() == [1]
+    seeds, slots = tokenstore.build_hash(np.arange(3000, dtype=np.int64) * 977)
+    assert sorted(slots) == list(range(3000)) and (tokenstore.slot_of(np.arange(3000) * 977, seeds, 3000) == slots).all()
+
+
+def test_packing(docs, rows):
+    got = packing.pack(docs, tokenizer("byte_bpe_50k.json")).toPandas()
+    want = collections.Counter(len(encoded("byte_bpe_50k.json", t, 0)) for _, t in rows)
+    assert got["length"].sum() == sum(k * n for k, n in want.items()) and got["length"].max() <= 2048
+    got = got.sort_values(["sequence_id", "offset"])
+    assert ((got.groupby("sequence_id")["length"].cumsum() - got["length"]) == got["offset"]).all()
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert got["sequence_id"].nunique() <= 1.1 * got["length"].sum() / 2048 + 2
+
+
+def test_sharding(docs, rows):
+    got = sharding.deal(docs).toPandas()
+    assert sorted(got["size"]) == sorted(len(t.encode()) + 8 for _, t in rows)
+    assert sorted(got["text_crc32"]) == sorted(zlib.crc32(t.encode()) for _, t in rows)
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    placed = sharding.best_fit_decreasing([("a", 5), ("b", 5), ("c", 3), ("d", 3), ("e", 4)], 2, 10)
+    assert placed["a"] == placed["b"] and len({placed["c"], placed["d"], placed["e"]}) == 1
+
+
+def test_decontamination(spark):
+    item = "In 1999 the farmer Anna sold 12 kg of apples to her neighbour for 30 euros and kept the rest."
+    other = item.replace("1999", "2004").replace("Anna", "Maria").replace("12", "55").replace("30", "81")
+    broken = item.replace("12 kg", "30 kg").replace("for 30", "for 31").replace("Anna sold", "Anna quickly sold nothing but") + " 30"
+    df = spark.createDataFrame([(1, f"Some words first. {item} Then more."), (2, f"intro {other}"), (3, "clean text of many words that has nothing to do with it at all"), (4, None), (None, item), (5, broken)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string")
+    got = {r["doc_id"]: (r["kept"], r["item_ids"]) for r in decontam.digest(df, bench).collect()}
+    assert got[1] == (False, [1]) and got[2] == (False, [1]) and got[3][0] and got[4][0] and got[None][0] and got[5][0]
+    assert decontam.digest(df.limit(0), bench).count() == 0
+    assert decontam.digest(df, bench.limit(0)).where("kept").count() == 6
+
+
+def test_classifiers(spark, docs):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    both = base.unionByName(docs.select(*base.columns).where("source = 'odd'"))
+    n = both.count()
+    q = quality_clf.score(both, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = q[q["held_out"]]
+    assert (held["predicted"] == held["quality"]).mean() > 0.93
+    t = toxicity.score(both, labels)
+    assert t.count() == n and t.where("score between 0 and 1").count() == n
+    got = langid.predict(both).toPandas()
+    assert len(got) == n
+    m = got.merge(base.select("doc_id", "lang").toPandas(), on="doc_id")
+    assert (m["lang_pred"] == m["lang"])[m["held_out"]].mean() > 0.97
+    assert set(got[got["doc_id"].isin([900001, 900002, 900003])]["lang_pred"]) == {"und"}
+    assert quality_clf.score(both.limit(3), labels.limit(0)).where("score = 0").count() == 3
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.count() > 0 and out.agg({"length": "max"}).first()[0] <= 2048
