@@ -133,9 +133,10 @@ def test_sharding(docs, rows):
 def test_decontamination(spark):
     item = "In 1999 the farmer Anna sold 12 kg of apples to her neighbour for 30 euros and kept the rest."
     other = item.replace("1999", "2004").replace("Anna", "Maria").replace("12", "55").replace("30", "81")
-    broken = item.replace("12 kg", "30 kg").replace("for 30", "for 31").replace("Anna sold", "Anna quickly sold nothing but") + " 30"
+    twice = "Every day Bob walks 5 km to school and Bob walks 5 km back home with a friend of his."
+    broken = twice.replace("and Bob walks 5", "and Tom walks 9")  # one slot value stands for two
     df = spark.createDataFrame([(1, f"Some words first. {item} Then more."), (2, f"intro {other}"), (3, "clean text of many words that has nothing to do with it at all"), (4, None), (None, item), (5, broken)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, twice)], "item_id long, text string")
     got = {r["doc_id"]: (r["kept"], r["item_ids"]) for r in decontam.digest(df, bench).collect()}
     assert got[1] == (False, [1]) and got[2] == (False, [1]) and got[3][0] and got[4][0] and got[None][0] and got[5][0]
     assert decontam.digest(df.limit(0), bench).count() == 0
