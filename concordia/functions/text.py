@@ -82,13 +82,16 @@ def phrase_words(t: Column) -> Column:
 def has_phrase(words: Column, phrase: str, max_gap: int = 2) -> Column:
     """Whether the phrase's words follow each other, each the first equal one within max_gap places of the one before.
 
-    words must be a column of its own, not an expression, else the optimizer would repeat it for every place.
+    words is bound to a name of the inner function, else the optimizer would repeat its expression for every place.
     """
     wanted = phrase.upper().split()
     if not wanted:
         return F.lit(True)
-    n = F.size(words)
-    starts = F.array_compact(F.transform(words, lambda w, i: F.when(w == wanted[0], i)))
-    for t in wanted[1:]:
-        starts = F.array_compact(F.transform(starts, lambda p: F.array_min(F.filter(F.sequence(p + 1, p + max_gap), lambda j: (j < n) & (F.get(words, j) == t)))))
-    return F.size(starts) > 0
+
+    def follows(w: Column) -> Column:
+        starts = F.array_compact(F.transform(w, lambda x, i: F.when(x == wanted[0], i)))
+        for t in wanted[1:]:
+            starts = F.array_compact(F.transform(starts, lambda p: F.array_min(F.filter(F.sequence(p + 1, p + max_gap), lambda j: (j < F.size(w)) & (F.get(w, j) == t)))))
+        return F.size(starts) > 0
+
+    return F.exists(F.array(words), follows)
