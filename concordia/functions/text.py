@@ -57,12 +57,16 @@ def tidy(t: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, rf"(?U){SPACE}+", " "), r"^ | $", "")
     s = F.regexp_replace(s, r" ([.,;:!?)»])", "$1")
     s = F.regexp_replace(s, r"([(«]) ", "$1")
-    cyrillic_line = count(s, CYR.replace("[", "[^", 1)) > count(s, "[^A-Za-z]")
 
-    def word(w: Column) -> Column:
-        return F.when(w.rlike(CYR) | (cyrillic_line & w.rlike(r"^[A-Za-z]\d{2,}[^\p{L}\p{N}_]*$")), F.translate(w, LATIN, CYRILLIC)).otherwise(w)
+    def cyrillic(x: Column) -> Column:
+        most = count(x, CYR.replace("[", "[^", 1)) > count(x, "[^A-Za-z]")
 
-    return F.when(s.rlike(CYR), F.array_join(F.transform(F.split(s, " ", -1), word), " ")).otherwise(s)
+        def word(w: Column) -> Column:
+            return F.when(w.rlike(CYR) | (w.rlike(r"^[A-Za-z]\d{2,}[^\p{L}\p{N}_]*$") & most), F.translate(w, LATIN, CYRILLIC)).otherwise(w)
+
+        return F.when(x.rlike(CYR), F.array_join(F.transform(F.split(x, " ", -1), word), " ")).otherwise(x)
+
+    return F.get(F.transform(F.array(s), cyrillic), F.lit(0))  # the line is made once and bound, not for each use
 
 
 def fold(t: Column) -> Column:
