@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions import similarity
 from concordia.functions import text as T
-from concordia.operators import sequence, witnesses
+from concordia.operators import consensus, sequence, witnesses
 
 PHRASE = "of the"
 
@@ -44,6 +44,13 @@ def _texts(spark, d):
     return doc.select("doc_id", F.explode(F.array(*one)).alias("x")).select("doc_id", "x.*")
 
 
+def _readings(spark, d):
+    """Three readings of each whole document: lines voted apart by md5 errors, put together again."""
+    rows = witnesses.synthesize(_t(spark, d, "documents"))
+    text = lambda w: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", w))), lambda r: r[w]), "\n").alias(w)
+    return rows.groupBy("doc_id").agg(*(text(w) for w in witnesses.WITNESSES))
+
+
 def queries() -> dict:
     docs = lambda s, d: _t(s, d, "documents")
     return {
@@ -57,6 +64,9 @@ def queries() -> dict:
         "agreement_report": lambda s, d: witnesses.decide(witnesses.synthesize(docs(s, d))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("decided").alias("agreed"), F.count_if(~F.col("decided")).alias("disputed")),
         "base_witness": lambda s, d: witnesses.base_witness(_texts(s, d)),
         "voted_phrase": flagship,
+        "merge": lambda s, d: consensus.merge(_readings(s, d)).select("doc_id", "base", F.md5("text").alias("digest"), *consensus.COUNTS),
+        "text_vote": lambda s, d: _readings(s, d).select("doc_id", F.md5(consensus.text_vote_udf(F.array(*witnesses.WITNESSES))).alias("digest")),
+        "quorum_report": lambda s, d: consensus.report_json(consensus.merge(_readings(s, d))),
         "phrase_exact_gap": lambda s, d: docs(s, d).select("doc_id", T.phrase_words(F.col("text")).alias("words")).where(T.has_phrase(F.col("words"), PHRASE)).select("doc_id"),
         "phrase_fuzzy": lambda s, d: similarity.fuzzy_phrase(docs(s, d), "the tionly"),
         "phrase_windows": lambda s, d: sequence.windows(docs(s, d)).select("doc_id", "start", F.md5("chunk").alias("digest")),
