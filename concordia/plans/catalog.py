@@ -48,7 +48,7 @@ def _readings(spark, d):
     """Three readings of each whole document: lines voted apart by md5 errors, put together again."""
     rows = witnesses.synthesize(_t(spark, d, "documents"))
     text = lambda w: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", w))), lambda r: r[w]), "\n").alias(w)
-    return rows.groupBy("doc_id").agg(*(text(w) for w in witnesses.WITNESSES))
+    return consensus.spread(rows).groupBy("doc_id").agg(*(text(w) for w in witnesses.WITNESSES))
 
 
 def queries() -> dict:
