@@ -8,8 +8,9 @@
 3. Lists are kept by value and size level, as sizes of linked sets differ by a third at most. A list never makes all its pairs:
    its members meet its least member; then, once components are known, those outside the list's largest component meet one
    member of it, another for each list; then those still outside meet all that are of another component. Pairs inside a component
-   decide nothing. Documents that are still apart in a crowded list, as passages make them, first get a larger sketch, whose
-   margin of chance is smaller: a passage then brings only documents together that it fills by two thirds or more.
+   decide nothing. Documents that are still apart in a crowded list, as passages and many copies with different edits make
+   them, first get a larger sketch, whose margin of chance is smaller, and lists by pairs of narrow size bands. The sizes of
+   both sides bound what a pair must share, so a document whose own values are more than that leaves room for is in no list.
 4. The union's sketch estimates Jaccard and drops far pairs; full sets decide on the rest.
 
 Odd rows: a null or empty text has an empty set and is kept, linked with nothing; repeated rows are copies; rows with the same
@@ -32,6 +33,8 @@ from .workspace import Workspace, arrow_batches, select_ids
 
 #: Sketch size, and the larger one of documents in crowded lists.
 K, K_CROWDED, SHINGLE, NEAR = 96, 512, 5, 75
+#: Size bands of lists for crowded documents: each is so much wider than the one below.
+BAND = 1.05
 #: Lists up to this length make their open pairs at once; documents of longer ones meet by larger sketches.
 CROWDED = 64
 
@@ -131,7 +134,7 @@ def components(ws: Workspace, name: str, links: DataFrame) -> DataFrame:
 
 
 def _lists(nodes: DataFrame, k: int, near: int) -> DataFrame:
-    """(key, doc_id): the inverted lists; key stands for a value and a size level, each node is at its own level and the next."""
+    """(key, doc_id, side): the inverted lists, all of one side; key stands for a value and a size level, each node is at its own level and the next."""
     posts = nodes.select("doc_id", "n", F.explode("sketch").alias("v"))
     often = posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     posts = posts.join(often, "v")
@@ -142,27 +145,51 @@ def _lists(nodes: DataFrame, k: int, near: int) -> DataFrame:
     posts = posts.withColumn("rank", rank).where(F.col("rank") <= kept - need + 1)
     level = F.floor(F.log("n") / math.log(100 / near)).cast("int")
     posts = posts.select("doc_id", "v", F.explode(F.array(level, level + 1)).alias("level"))
-    return posts.select(F.xxhash64("v", "level").alias("key"), "doc_id")
+    return posts.select(F.xxhash64("v", "level").alias("key"), "doc_id", F.lit(0).alias("side"))
+
+
+def _banded(nodes: DataFrame, k: int, near: int) -> DataFrame:
+    """(key, doc_id, side): inverted lists by value and pair of size bands; side tells the lower (1) and upper (2) band, 0 if they are one.
+
+    Two whole sets of n and m values need near / (100 + near) of n + m in common, m being at least its band's lower end.
+    """
+    posts = nodes.select("doc_id", "n", F.explode("sketch").alias("v"))
+    posts = posts.join(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v")
+    kept = F.least(F.col("n"), F.lit(k))
+    w = Window.partitionBy("doc_id", "n")
+    posts = posts.withColumn("rank", F.row_number().over(w.orderBy("df", "v")) + kept - F.count("*").over(w))
+    band = lambda size: F.floor(F.log(size) / math.log(BAND)).cast("int")
+    posts = posts.withColumn("own", band(F.col("n"))).withColumn("other", F.explode(F.sequence(band(F.ceil(F.col("n") * near / 100)), band(F.floor(F.col("n") * 100 / near)))))
+    least = F.floor(F.pow(F.lit(BAND), F.col("other")) - 1e-6)
+    part = F.ceil(F.col("n") * near / 100)
+    whole = (F.col("n") <= k) & (F.pow(F.lit(BAND), F.col("other") + 1) <= k)
+    need = F.when(whole, F.greatest(part, F.ceil(near * (F.col("n") + least) / (100 + near)))).otherwise(F.least(F.lit(least_shared(k, near)), part))
+    posts = posts.where(F.col("rank") <= kept - need + 1)
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(lo == hi, 0).when(F.col("own") == lo, 1).otherwise(2)
+    return posts.select(F.xxhash64("v", lo, hi).alias("key"), "doc_id", side.alias("side"))
 
 
 def _apart(ws: Workspace, name: str, lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, doc_id, comp, main, size) of lists that hold several components; main is the largest of them.
+    """(key, doc_id, side, comp, main, size) of lists that hold several components and not one side alone; main is the largest component.
 
     Of lists with the same members, as the values of one passage have, one stands for all.
     """
     placed = ws.cut(lists.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), f"{name}_placed")
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("size")).where("parts > 1")
-    alike = placed.join(parts.select("key"), "key").groupBy("key").agg(F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(2))).alias("y"), F.count("*").alias("m"))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min("side").alias("low"), F.max("side").alias("high"))
+    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
+    parts = parts.where("parts > 1 and (low = 0 or low < high)").drop("low", "high")
+    alike = placed.join(parts.select("key"), "key").groupBy("key").agg(F.bit_xor(F.xxhash64("doc_id", "side", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("doc_id", "side", F.lit(2))).alias("y"), F.count("*").alias("m"))
     one = alike.groupBy("x", "y", "m").agg(F.min("key").alias("key")).select("key")
     return ws.cut(placed.join(parts.drop("parts").join(one, "key"), "key"), f"{name}_apart")
 
 
 def _cross(apart: DataFrame) -> DataFrame:
-    """(a, b): the members outside a list's main component with all of other components."""
-    rest = apart.where("comp != main").select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
-    other = apart.select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("inside"))
-    pairs = rest.join(other, "key").where((F.col("cx") != F.col("cy")) & (F.col("inside") | (F.col("x") < F.col("y"))))
+    """(a, b): the members outside a list's main component with all of other components, on the other side where lists have two."""
+    across = F.when(F.col("side") == 0, 0).otherwise(3 - F.col("side"))
+    rest = apart.where("comp != main").select("key", across.alias("side"), F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
+    other = apart.select("key", "side", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("inside"))
+    pairs = rest.join(other, ["key", "side"]).where((F.col("cx") != F.col("cy")) & (F.col("inside") | (F.col("x") < F.col("y"))))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -192,9 +219,9 @@ def classes(docs: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
     apart = _apart(ws, "third", lists, comp)
     crowd = ws.cut(apart.where(F.col("size") > CROWDED).select("doc_id").distinct(), "crowd")
     large = ws.cut(_sketched(select_ids(named, crowd, "left_semi"), K_CROWDED).dropDuplicates(["hi", "lo"]).select("doc_id", "n", "sketch"), "large")
-    wide = _apart(ws, "fourth", ws.cut(_lists(large, K_CROWDED, near), "lists_large"), comp)
-    cross = _cross(apart.where(F.col("size") <= CROWDED)).unionByName(_cross(wide)).distinct()
-    more = verified(ws, "cross", ws.cut(cross, "cross"), nodes, named, k, near)
+    wide = _apart(ws, "fourth", ws.cut(_banded(large, K_CROWDED, near), "lists_large"), comp)
+    more = verified(ws, "cross", ws.cut(_cross(apart.where(F.col("size") <= CROWDED)).distinct(), "cross"), nodes, named, k, near)
+    more = more.unionByName(verified(ws, "wide", ws.cut(_cross(wide).distinct(), "wide"), large, named, K_CROWDED, near))
     # copies of one set under several keys, and keys that stand for several sets, are links too
     same = rows.where("n > 0").join(sets.where("m > 1").select("hi", "lo", "rep"), ["hi", "lo"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b")
     comp = components(ws, "last", links.unionByName(more).unionByName(same).distinct())
@@ -202,8 +229,8 @@ def classes(docs: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = _sketched(filled.where(F.col("doc_id").isNull()), k).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     out = ws.cut(out.unionByName(nameless), "result")
-    ws.drop("rows", "classes", "lists", "lists_large", "large", "crowd", "stars", "links", "second", "second_all", "cross")
-    ws.drop(*(f"{x}_{y}" for x in ("star", "second", "cross") for y in ("near", "links")), *(f"{x}_{y}" for x in ("second", "third", "fourth") for y in ("placed", "apart")))
+    ws.drop("rows", "classes", "lists", "lists_large", "large", "crowd", "stars", "links", "second", "second_all", "cross", "wide")
+    ws.drop(*(f"{x}_{y}" for x in ("star", "second", "cross", "wide") for y in ("near", "links")), *(f"{x}_{y}" for x in ("second", "third", "fourth") for y in ("placed", "apart")))
     return out
 
 
