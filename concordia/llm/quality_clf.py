@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .training import held_out, labelled_sample, scored
+from .training import held_out, scored, trained
 
 BUCKETS = 1 << 18
 SAMPLE, EPOCHS = 6000, 2
@@ -72,7 +72,7 @@ def train(rows: list[tuple[int, str, str, int]], epochs: int = EPOCHS) -> tuple[
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    w, share = train(labelled_sample(docs, labels, "quality", sample))
+    w, share = trained(docs, labels, "quality", sample, train)
     shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def rate(texts: list[str]) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,20 +17,27 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> list[tuple[int, str, str, int]]:
-    """(doc_id, lang, text, label) of at most bound rows, chosen by hash of the key among all that may be learned from.
+def trained(docs: DataFrame, labels: DataFrame, label: str, bound: int, train: Callable[[list[tuple[int, str, str, int]]], object]) -> object:
+    """What train makes of (doc_id, lang, text, label) of at most bound rows, chosen by hash of the key among all that may be learned from.
 
+    One task of an executor trains, and only the model reaches the driver; a lost executor repeats that task, to the same model.
     A key with several labels counts as 1 if one of them is. The ids of the sample are broadcast: bound rows at most.
     """
     order = F.xxhash64("doc_id", F.lit(11))
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
     ids = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(order, "doc_id").limit(bound).collect()
     if not ids:
-        return []
+        return train([])
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(few, "doc_id").collect()
-    out = sorted((r["doc_id"], r["lang"] or "", r["text"], r["y"]) for r in rows)
-    return out[:bound]
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    arrow_batches(docs.sparkSession)
+
+    def work(batches):
+        rows = sorted((int(k), g, t, int(y)) for x in batches for k, g, t, y in zip(x["doc_id"], x["lang"], x["text"], x["y"]))
+        yield pd.DataFrame({"model": [pickle.dumps(train(rows[:bound]), pickle.HIGHEST_PROTOCOL)]})
+
+    made = docs.select(*cols).join(few, "doc_id").select("doc_id", "lang", "text", "y").repartition(1).mapInPandas(work, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([])
 
 
 def scored(docs: DataFrame, score: Callable[[list], object], *more: str) -> DataFrame:
