@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .training import held_out
-from .workspace import arrow_batches
+from .workspace import arrow_batches, freed
 
 BUCKETS, GRAMS = 1 << 16, (1, 2, 3, 4)
 #: Bounds of the sample: languages, rows of each, landmarks of each.
@@ -102,5 +102,5 @@ def predict(docs: DataFrame) -> DataFrame:
             keys = pd.array([None if pd.isna(k) else int(k) for k in b["doc_id"]], "Int64")
             yield pd.DataFrame({"doc_id": keys, "lang_pred": best.tolist(), "score": high})
 
-    out = src.mapInPandas(work, "doc_id long, lang_pred string, score double")
+    out = src.mapInPandas(freed(work), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import hashing as H
-from .workspace import Workspace, arrow_batches, select_ids
+from .workspace import Workspace, arrow_batches, freed, select_ids
 
 #: Sketch size, and the larger one of documents in crowded lists.
 K, K_CROWDED, SHINGLE, NEAR = 96, 512, 5, 75
@@ -67,7 +67,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n", "hi", "lo", "sketch"])
             yield out.astype({"doc_id": b["doc_id"].dtype})
 
-    return docs.mapInPandas(work, "doc_id long, n long, hi long, lo long, sketch array<long>")
+    return docs.mapInPandas(freed(work), "doc_id long, n long, hi long, lo long, sketch array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "set": [shingles(t).tobytes() for t in b["text"]]})
 
-    return docs.mapInPandas(work, "doc_id long, set binary")
+    return docs.mapInPandas(freed(work), "doc_id long, set binary")
 
 
 def _exact(pairs: DataFrame, near: int) -> DataFrame:
@@ -88,7 +88,7 @@ def _exact(pairs: DataFrame, near: int) -> DataFrame:
                 keep.append(100 * both >= near * (len(x) + len(y) - both))
             yield b.loc[keep, ["a", "b"]]
 
-    return pairs.mapInPandas(work, "a long, b long")
+    return pairs.mapInPandas(freed(work), "a long, b long")
 
 
 def verified(ws: Workspace, name: str, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, near: int) -> DataFrame:

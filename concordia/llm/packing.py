@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import END_BYTE, encoder
-from .workspace import Workspace, arrow_batches
+from .workspace import Workspace, arrow_batches, freed
 
 LENGTH, FULL, FAN, CARRY = 2048, 0.99, 8, 20_000
 #: Pieces that a partition packs at once; then it starts anew.
@@ -87,7 +87,7 @@ def _local(docs: DataFrame, tokenizer: str, end: int, capacity: int, key: str, t
             yield packed()
 
     schema = f"{key} long, piece int, start long, length long, ids_crc32 long, bin long, fill int, offset long"
-    return docs.select(F.col(key).cast("long").cast("string").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).mapInPandas(work, schema)
+    return docs.select(F.col(key).cast("long").cast("string").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).mapInPandas(freed(work), schema)
 
 
 def _merge(capacity: int, carry: int):

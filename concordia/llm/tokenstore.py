@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .hashing import mix
 from .tokens import END_WORD, encoder
-from .workspace import Workspace, arrow_batches
+from .workspace import Workspace, arrow_batches, freed
 
 MAGIC, HEAD = b"TOKS", struct.Struct("<4sIQQQQ")
 #: A shard is closed as it reaches so many ids or documents.
@@ -157,7 +157,7 @@ def write(docs: DataFrame, tokenizer: str, ws: Workspace, key: str = "doc_id", t
     dealt = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     dealt = dealt.repartitionByRange(n, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
     dealt = dealt.select(F.col(key).cast("string").alias(key), F.coalesce(text, F.lit("")).alias(text))  # a long with nulls would come as a float
-    return ws.cut(dealt.mapInPandas(work, "part int, shard int, low long, high long, ids long, blob binary"), "shards")
+    return ws.cut(dealt.mapInPandas(freed(work), "part int, shard int, low long, high long, ids long, blob binary"), "shards")
 
 
 def read(shards: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -187,7 +187,7 @@ def read(shards: DataFrame, key: str = "doc_id") -> DataFrame:
 
     few = shards.select("part").limit(100_001).count() <= 100_000
     placed = shards.join(F.broadcast(starts) if few else starts, ["part", "shard"])
-    return placed.select("part", "before", "blob").mapInPandas(work, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("part", "before", "blob").mapInPandas(freed(work), f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(shards: DataFrame, keys: list[int | None]) -> dict:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import arrow_batches
+from .workspace import arrow_batches, freed
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -36,7 +36,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, bound: int, train: C
         rows = sorted((int(k), g, t, int(y)) for x in batches for k, g, t, y in zip(x["doc_id"], x["lang"], x["text"], x["y"]))
         yield pd.DataFrame({"model": [pickle.dumps(train(rows[:bound]), pickle.HIGHEST_PROTOCOL)]})
 
-    made = docs.select(*cols).join(few, "doc_id").select("doc_id", "lang", "text", "y").repartition(1).mapInPandas(work, "model binary").collect()
+    made = docs.select(*cols).join(few, "doc_id").select("doc_id", "lang", "text", "y").repartition(1).mapInPandas(freed(work), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else train([])
 
 
@@ -54,4 +54,4 @@ def scored(docs: DataFrame, score: Callable[[list], object], *more: str) -> Data
             out["score"] = score(b["text"].tolist())
             yield out
 
-    return src.mapInPandas(work, ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "score double"]))
+    return src.mapInPandas(freed(work), ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "score double"]))

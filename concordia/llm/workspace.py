@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +59,17 @@ def select_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     ids = ids.select(key).where(F.col(key).isNotNull()).distinct()
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if small else ids, key, how)
+
+
+def freed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work over a partition; at its end the Python worker, which lives on beside others, gives freed memory back to the machine."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # a C library without it
+            pass
+
+    return run
