@@ -2,7 +2,9 @@
 
 Numbers, names (words that begin with A to Z) and units become typed placeholders; windows of template tokens are
 joined by hash; a match counts if the fillers of its slots map to those of the item one to one, along the whole
-alignment. So a question with other numbers or names is found, and chance likeness of templates is not.
+alignment. So a question with other numbers or names is found, and chance likeness of templates is not. Beside them,
+windows of the words themselves, without regard to case, are joined: a window is held if either form matches. So
+passages in capitals, and items that are mostly numbers or names, whose windows have too many slots, are found too.
 
 Odd rows: null and empty texts hold no window and are kept, and so are rows with a null key, which no result could name;
 rows that repeat a key are judged together; benchmark items that are null or have fewer than MIN_ITEM tokens match nothing;
@@ -18,7 +20,7 @@ from .workspace import Workspace, select_ids
 
 WINDOW, MIN_ITEM = 8, 5
 SIGNS = ".,;:!?\"'()[]{}"
-#: Share of an item's windows that one document must hold, and the largest share of slots in a window.
+#: Share of an item's windows that one document must hold, and the largest share of slots in a template window.
 COVER, MAX_SLOTS = 0.5, 0.5
 #: Benchmark windows up to this number (32 MB as hashes) are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 2_000_000
@@ -42,40 +44,50 @@ def _template(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def _with_windows(df: DataFrame, n: int) -> DataFrame:
-    """df(_t) with _h: the hash of each window of n tokens, put together from windows of 1, 2, 4 ... tokens."""
-    size = F.size("_t")
-    df = df.withColumn("_p0", F.transform("_t", lambda t: F.xxhash64(t)))
+def _literal(words: Column) -> Column:
+    """Words in lower case, the German sharp s as its capitals would be written."""
+    return F.transform(words, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
+
+
+def _with_windows(df: DataFrame, n: int, tokens: str, out: str) -> DataFrame:
+    """df with out: the hash of each window of n tokens, put together from windows of 1, 2, 4 ... tokens."""
+    size = F.size(tokens)
+    df = df.withColumn("_p0", F.transform(tokens, lambda t: F.xxhash64(t)))
     span, at, names = 1, 0, ["_p0"]
     while 2 * span <= n:
         df = df.withColumn(f"_p{at + 1}", F.zip_with(F.col(f"_p{at}"), F.slice(f"_p{at}", span + 1, size), lambda a, b: F.xxhash64(a, b)))
         span, at = 2 * span, at + 1
         names.append(f"_p{at}")
     done = span
-    df = df.withColumn("_h", F.col(f"_p{at}"))
+    df = df.withColumn(out, F.col(f"_p{at}"))
     for k in range(at - 1, -1, -1):
         if done + (1 << k) <= n:
-            df = df.withColumn("_h", F.zip_with(F.col("_h"), F.slice(f"_p{k}", done + 1, size), lambda a, b: F.xxhash64(a, b)))
+            df = df.withColumn(out, F.zip_with(F.col(out), F.slice(f"_p{k}", done + 1, size), lambda a, b: F.xxhash64(a, b)))
             done += 1 << k
-    return df.withColumn("_h", F.slice("_h", 1, F.greatest(size - (n - 1), F.lit(0)))).drop(*names)
+    return df.withColumn(out, F.slice(out, 1, F.greatest(size - (n - 1), F.lit(0)))).drop(*names)
 
 
 def _located(df: DataFrame, key: str, text: str, n: int, ws: Workspace | None = None, name: str = "") -> DataFrame:
-    """(key, pos, h) of all windows, or with ws also their tokens and the fillers of their slots, but of no window with too many slots."""
-    df = df.select(key, _words(F.col(text)).alias("_w")).withColumn("_t", _template(F.col("_w")))
-    df = _with_windows(df, n)
+    """(key, h) of all windows of both forms, or with ws (key, lit, pos, h, t, fill): their tokens and, unless lit, the fillers of
+    their slots, but of no template window with too many slots."""
+    df = df.select(key, _words(F.col(text)).alias("_w")).withColumn("_t", _template(F.col("_w"))).withColumn("_l", _literal(F.col("_w")))
+    df = _with_windows(_with_windows(df, n, "_t", "_h"), n, "_l", "_g")
     if ws is None:
         # outer: for explode() the optimizer adds a filter on the array and pushes it down, with all that makes the array copied in
-        return df.select(key, F.explode_outer("_h").alias("h"))
+        return df.select(key, F.explode_outer(F.concat("_h", "_g")).alias("h"))
     df = ws.cut(df, name)  # else the optimizer would put the split of the text into the function over its windows
-    w, t, h = F.col("_w"), F.col("_t"), F.col("_h")
+    w, t = F.col("_w"), F.col("_t")
 
     def fillers(i: Column) -> Column:
         pairs = F.zip_with(F.slice(t, i + 1, n), F.slice(w, i + 1, n), lambda a, b: F.struct(a.alias("t"), b.alias("w")))
         return F.transform(F.filter(pairs, lambda p: p["t"].isin("#", "~", "@")), lambda p: F.lower(p["w"]))
 
-    rows = F.transform(h, lambda x, i: F.struct(i.alias("pos"), x.alias("h"), F.slice(t, i + 1, n).alias("t"), fillers(i).alias("fill")))
-    return df.select(key, F.explode(rows).alias("x")).select(key, "x.pos", "x.h", "x.t", "x.fill").where(F.size("fill") <= F.lit(int(MAX_SLOTS * n)))
+    def row(lit: bool, tokens: str, fill) -> Column:
+        return lambda x, i: F.struct(F.lit(lit).alias("lit"), i.alias("pos"), x.alias("h"), F.slice(tokens, i + 1, n).alias("t"), fill(i).alias("fill"))
+
+    none = F.array().cast("array<string>")
+    rows = F.concat(F.transform("_h", row(False, "_t", fillers)), F.transform("_g", row(True, "_l", lambda i: none)))
+    return df.select(key, F.explode(rows).alias("x")).select(key, "x.*").where(F.size("fill") <= F.lit(int(MAX_SLOTS * n)))
 
 
 def _one_to_one(pairs: Column) -> Column:
@@ -88,6 +100,9 @@ def _one_to_one(pairs: Column) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, cover: float = COVER) -> DataFrame:
     """(key, item, n_windows, share): the items of which a document holds the share cover of windows or more.
 
+    The share is taken of all windows, and of those that have a template too; the larger one counts. For where names and
+    numbers are others, a window with too many slots can't be held.
+
     First pass: every window hash of every document against those of the benchmark. Second pass: fillers, for the documents
     that have a hash in common only.
     """
@@ -103,15 +118,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         near = _located(docs, "_key", "_text", n).join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
         ids = ws.cut(near.select("_key").distinct(), f"ids{n}")
         close = _located(select_ids(docs, ids, "left_semi", "_key"), "_key", "_text", n, ws, f"close{n}")
-        ours = own.select("_item", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), F.col("fill").alias("_fill"))
-        pairs = close.join(F.broadcast(ours) if few else ours, "h").where(F.col("t") == F.col("_t"))
-        pairs = pairs.select("_key", "_item", "_pos", (F.col("pos") - F.col("_pos")).alias("_shift"), F.zip_with("_fill", "fill", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("_pairs"))
+        ours = own.select("_item", "lit", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), F.col("fill").alias("_fill"))
+        pairs = close.join(F.broadcast(ours) if few else ours, ["lit", "h"]).where(F.col("t") == F.col("_t"))
+        pairs = pairs.select("_key", "_item", "lit", "_pos", (F.col("pos") - F.col("_pos")).alias("_shift"), F.zip_with("_fill", "fill", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("_pairs"))
         pairs = pairs.where(_one_to_one(F.array_distinct("_pairs")))
-        lines = pairs.groupBy("_key", "_item", "_shift").agg(F.collect_set("_pos").alias("_at"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"))
-        lines = lines.where(_one_to_one(F.col("_pairs"))).select("_key", "_item", F.explode("_at").alias("_pos"))
-        counts = own.groupBy("_item").agg(F.countDistinct("pos").alias("_all"))
-        held = lines.groupBy("_key", "_item").agg(F.countDistinct("_pos").alias("n_windows")).join(F.broadcast(counts) if few else counts, "_item")
-        held = held.where(F.col("n_windows") >= F.lit(cover) * F.col("_all")).select("_key", "_item", "n_windows", (F.col("n_windows") / F.col("_all")).alias("share"))
+        lines = pairs.groupBy("_key", "_item", "_shift").agg(
+            F.collect_set(F.when(F.col("lit"), F.col("_pos"))).alias("_same"), F.collect_set(F.when(~F.col("lit"), F.col("_pos"))).alias("_at"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs")
+        )
+        at = F.when(_one_to_one(F.col("_pairs")), F.concat("_same", "_at")).otherwise(F.col("_same"))
+        lines = lines.select("_key", "_item", F.explode(at).alias("_pos")).distinct()
+        places = own.groupBy("_item", F.col("pos").alias("_pos")).agg((~F.min("lit")).cast("long").alias("_slim"))
+        counts = places.groupBy("_item").agg(F.count("*").alias("_all"), F.sum("_slim").alias("_slims"))
+        places, counts = (F.broadcast(x) if few else x for x in (places, counts))
+        held = lines.join(places, ["_item", "_pos"]).groupBy("_key", "_item").agg(F.count("*").alias("n_windows"), F.sum("_slim").alias("_slim")).join(counts, "_item")
+        share = F.greatest(F.col("n_windows") / F.col("_all"), F.when(F.col("_slims") > 0, F.col("_slim") / F.col("_slims")))
+        held = held.select("_key", "_item", "n_windows", share.alias("share")).where(F.col("share") >= F.lit(cover))
         found = held if found is None else found.unionByName(held)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "_key long, _item long, n_windows long, share double")

@@ -143,6 +143,16 @@ def test_decontamination(spark):
     assert decontam.digest(df, bench.limit(0)).where("kept").count() == 6
 
 
+def test_decontamination_word_for_word(spark):
+    item = "In 1999 the farmer Anna sold 12 kg of apples to her neighbour in a wide straße and kept the rest."
+    numbers = "Results 12 45 Kelvin 78 93 Tesla 14 27 Ohm 31 64 Pascal 85 final"
+    texts = [item.upper(), f"some words, then {item.title()}", numbers, f"table: {numbers.lower()} end", numbers.replace("45", "46").replace("27", "28").replace("64", "65"), "IN 1999 A BAKER SOLD NOTHING AT ALL TO ANY NEIGHBOUR OF HIS"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, numbers)], "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontam.digest(df, bench).collect()}
+    assert got == {0: [1], 1: [1], 2: [2], 3: [2], 4: [], 5: []}
+
+
 def test_classifiers(spark, docs):
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
