@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates. SQL functions only.
 
 Numbers, names (words that begin with A to Z) and units become typed placeholders; windows of template tokens are
-joined by hash; a match counts if the fillers of its slots map to those of the item one to one, along the whole
-alignment. So a question with other numbers or names is found, and chance likeness of templates is not. Beside them,
+joined by hash; a match counts if the fillers of its slots map to those of the item one to one, as most places of the
+whole alignment do. So a question with other numbers or names is found, and chance likeness of templates is not. Beside them,
 windows of the words themselves, without regard to case, are joined: a window is held if either form matches. So
 passages in capitals, and items that are mostly numbers or names, whose windows have too many slots, are found too.
 
@@ -90,6 +90,12 @@ def _located(df: DataFrame, key: str, text: str, n: int, ws: Workspace | None =
     return df.select(key, F.explode(rows).alias("x")).select(key, "x.*").where(F.size("fill") <= F.lit(int(MAX_SLOTS * n)))
 
 
+def _placed(fill: Column, tokens: Column, pos: Column) -> Column:
+    """Fillers (p, w) with their places in the item; pos is the place of the window."""
+    slots = F.filter(F.transform(tokens, lambda x, i: F.when(x.isin("#", "~", "@"), pos + i)), lambda p: p.isNotNull())
+    return F.zip_with(slots, fill, lambda p, w: F.struct(p.alias("p"), w.alias("w")))
+
+
 def _one_to_one(pairs: Column) -> Column:
     """Whether the distinct pairs (a, b) are a bijection."""
     left = F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"])))
@@ -97,6 +103,32 @@ def _one_to_one(pairs: Column) -> Column:
     return (left == F.size(pairs)) & (right == F.size(pairs))
 
 
+def _agreeing(windows: Column) -> Column:
+    """Places of the windows (at, pairs) of one alignment that hold to one mapping of the item's fillers to the document's.
+
+    pairs has (p, a, b): at place p of the item stands a, in the document b. The mapping takes the pairs (a, b) by the number
+    of their places, equal words first among as many, then the earlier, and leaves out what isn't one to one with those taken.
+    """
+    kind = "array<struct<n:int,other:boolean,p:int,a:string,b:string>>"
+
+    def mapping(places: Column) -> Column:
+        def vote(d: Column) -> Column:
+            at = F.transform(F.filter(places, lambda x: (x["a"] == d["a"]) & (x["b"] == d["b"])), lambda x: x["p"])
+            return F.struct((-F.size(at)).alias("n"), (d["a"] != d["b"]).alias("other"), F.array_min(at).alias("p"), d["a"].alias("a"), d["b"].alias("b"))
+
+        votes = F.array_sort(F.transform(F.array_distinct(F.transform(places, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))), vote))
+        return F.aggregate(votes, F.array().cast(kind), lambda m, v: F.when(F.exists(m, lambda x: (x["a"] == v["a"]) | (x["b"] == v["b"])), m).otherwise(F.concat(m, F.array(v))))
+
+    def held(w: Column, m: Column) -> Column:
+        return F.transform(F.filter(w, lambda x: F.forall(x["pairs"], lambda q: F.exists(m, lambda y: (y["a"] == q["a"]) & (y["b"] == q["b"])))), lambda x: x["at"])
+
+    def judged(w: Column) -> Column:  # each array is bound to a name, else it would be made again for every element
+        places = F.array_distinct(F.flatten(F.transform(w, lambda x: x["pairs"])))
+        return F.get(F.transform(F.array(places), lambda p: F.get(F.transform(F.array(mapping(p)), lambda m: held(w, m)), F.lit(0))), F.lit(0))
+
+    return F.get(F.transform(F.array(windows), judged), F.lit(0))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, cover: float = COVER) -> DataFrame:
     """(key, item, n_windows, share): the items of which a document holds the share cover of windows or more.
 
@@ -118,15 +150,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         near = _located(docs, "_key", "_text", n).join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
         ids = ws.cut(near.select("_key").distinct(), f"ids{n}")
         close = _located(select_ids(docs, ids, "left_semi", "_key"), "_key", "_text", n, ws, f"close{n}")
-        ours = own.select("_item", "lit", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), F.col("fill").alias("_fill"))
+        ours = own.select("_item", "lit", "h", F.col("t").alias("_t"), F.col("pos").alias("_pos"), _placed(F.col("fill"), F.col("t"), F.col("pos")).alias("_fill"))
         pairs = close.join(F.broadcast(ours) if few else ours, ["lit", "h"]).where(F.col("t") == F.col("_t"))
-        pairs = pairs.select("_key", "_item", "lit", "_pos", (F.col("pos") - F.col("_pos")).alias("_shift"), F.zip_with("_fill", "fill", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("_pairs"))
-        pairs = pairs.where(_one_to_one(F.array_distinct("_pairs")))
+        pairs = pairs.select("_key", "_item", "lit", "_pos", (F.col("pos") - F.col("_pos")).alias("_shift"), F.zip_with("_fill", "fill", lambda a, b: F.struct(a["p"].alias("p"), a["w"].alias("a"), b.alias("b"))).alias("_pairs"))
+        pairs = pairs.where(_one_to_one(F.array_distinct(F.transform("_pairs", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))))
         lines = pairs.groupBy("_key", "_item", "_shift").agg(
-            F.collect_set(F.when(F.col("lit"), F.col("_pos"))).alias("_same"), F.collect_set(F.when(~F.col("lit"), F.col("_pos"))).alias("_at"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs")
+            F.collect_set(F.when(F.col("lit"), F.col("_pos"))).alias("_same"), F.collect_set(F.when(~F.col("lit"), F.struct(F.col("_pos").alias("at"), F.col("_pairs").alias("pairs")))).alias("_windows")
         )
-        at = F.when(_one_to_one(F.col("_pairs")), F.concat("_same", "_at")).otherwise(F.col("_same"))
-        lines = lines.select("_key", "_item", F.explode(at).alias("_pos")).distinct()
+        lines = lines.select("_key", "_item", F.explode(F.concat("_same", _agreeing(F.col("_windows")))).alias("_pos")).distinct()
         places = own.groupBy("_item", F.col("pos").alias("_pos")).agg((~F.min("lit")).cast("long").alias("_slim"))
         counts = places.groupBy("_item").agg(F.count("*").alias("_all"), F.sum("_slim").alias("_slims"))
         places, counts = (F.broadcast(x) if few else x for x in (places, counts))

@@ -153,6 +153,20 @@ def test_decontamination_word_for_word(spark):
     assert got == {0: [1], 1: [1], 2: [2], 3: [2], 4: [], 5: []}
 
 
+def test_decontamination_one_altered_place(spark):
+    item = "Anna then walked along the river bank until it was dark and Anna read a long book about old ships and their crews while Anna drank some tea from a small cup before Anna slept"
+    renamed = item.replace("Anna", "Maria")
+    one = renamed.replace("and Maria", "and Paula", 1)
+    every = "Every day Bob walks 5 km to school and Bob walks 5 km back home with a friend of his and that is what Bob likes most of all in life now"
+    swapped = every.replace("Bob", "Tom").replace("and Tom walks 5", "and Tim walks 9")
+    df = spark.createDataFrame([(1, renamed), (2, one), (3, item.replace("and Anna", "and Paula", 1)), (4, f"so it was. {swapped}"), (5, "Maria slept and Paula walked")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, every)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_windows"], r["item_ids"]) for r in decontam.digest(df, bench).collect()}
+    n = len(item.split()) - 7
+    assert got[1] == (n, [1]) and got[2] == (n - 8, [1]) and got[3] == (n - 8, [1])
+    assert got[4][1] == [2] and got[5] == (0, [])
+
+
 def test_classifiers(spark, docs):
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
