@@ -137,13 +137,14 @@ def _log2(w: int) -> float:
 def scan(docs: DataFrame, text: str = "text", window: int = WINDOW, prefix: str = "_") -> DataFrame:
     """docs with two more columns: {prefix}base and {prefix}all, arrays of (s, k, e) by start, then kind; kind 3 is entropy.
 
-    An entropy span that touches a base span is left to the base span.
+    An entropy span that base spans cover wholly is left to them; one that reaches beyond them is kept, so spans may overlap.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = docs.withColumn(f"{prefix}base", F.array_sort(F.concat(*(_matches(t, n, p, g, least, test) for _, n, p, g, least, test in BASE))))
     high = F.when(t.rlike(CANDIDATE), _entropy_spans(t, window)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
     out = out.withColumn(f"{prefix}high", high)
-    free = F.filter(F.col(f"{prefix}high"), lambda h: ~F.exists(F.col(f"{prefix}base"), lambda b: (b["s"] < h["e"]) & (h["s"] < b["e"])))
+    reach = lambda h: F.aggregate(F.col(f"{prefix}base"), h["s"], lambda a, b: F.when(b["s"] <= a, F.greatest(a, b["e"])).otherwise(a))
+    free = F.filter(F.col(f"{prefix}high"), lambda h: reach(h) < h["e"])
     extra = F.transform(free, lambda h: F.struct(h["s"].alias("s"), F.lit(3).alias("k"), h["e"].alias("e")))
     return out.withColumn(f"{prefix}all", F.array_sort(F.concat(F.col(f"{prefix}base"), extra))).drop(f"{prefix}high")
 
