@@ -62,6 +62,21 @@ def test_entropy_beyond_base_spans(spark):
     assert red[1] == "[SECRET] end" and red[2] == "[SECRET] end"
 
 
+def test_entropy_of_all_classes_and_parts(spark):
+    key, low, mixed, digits = "aX9k2LmQ7zR4tV8wB1nC5dF0", "qzjxkvbwpmthgcrfdlnyasue", "qZjXkvBWpmThgCRfdLnYasUe", "73910482659047318265"
+    found = [low, low.upper(), mixed, digits, f"2026-01-02-{key}", f"{key}/example", f"your_{key}", f"placeholder={key}", f"2026-01-02-{low}", f"path/to/{digits}", f"{key}example"]
+    plain = [
+        "keitstlichschenverpf", "Einungtzheitgeungverlich", "00000000000000000000000", "2026-01-02-quarterly-report-of-the-board", "some/example/placeholder/of_your_own",
+        "123e4567-e89b-12d3-a456-426614174000", "InternationalStandardBookNumber", "usr/share/XMLHttpRequest/JavaScriptCore", "YOUR_API_KEY_GOES_RIGHT_HERE", "--------------------------------",
+    ]
+    df = spark.createDataFrame([(k, f"é {c} end") for k, c in enumerate(found + plain)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.digest(df).collect()}
+    assert [c for k, c in enumerate(found + plain) if bool(spans[k]) != (k < len(found))] == []
+    red = [r["text"] for r in secret_scan.redact(df).orderBy("doc_id").collect()]
+    assert not any(x in t for t in red for x in (key, low, low.upper(), mixed, digits)) and red[len(found):] == [f"é {c} end" for c in plain]
+    assert spans[0] == f"entropy:2:{2 + len(low)}"
+
+
 def test_quality_rules(docs, rows):
     got = collections.Counter(tuple(r)[:7] for r in quality_rules.digest(docs).collect())
     want = collections.Counter()
