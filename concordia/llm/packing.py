@@ -2,8 +2,12 @@
 
 Hierarchical residual packing: each partition packs its pieces best-fit, largest first, and gives out bins that are nearly
 full; bins with room go up a tree as items of their own, and groups of them are packed again, until one group is left. A
-group carries CARRY of its emptiest bins up at most and gives out the rest as they are, so no task grows with the input;
-such bins hold only pieces that found no partner among thousands.
+group carries CARRY of its emptiest bins up at most and gives out the rest as they are, so no task grows with the input.
+
+That cap loses nothing: best fit opens a bin only for an item that no open bin takes, so any two bins of a packing exceed one
+sequence together and all but one are over half full. Two of these never merge, of whatever groups; only the one bin of each
+packing below can, it is among the emptiest, and what fits into any bin fits into the emptiest ones, which are carried too.
+CARRY is far above the number of packings that meet in a group: FAN, or at the first level FAN times those of a partition.
 
 Odd rows: a null or empty text is the end id alone; rows that repeat a key and rows with a null key are packed as they are;
 an empty table gives an empty one. Only key and text are read.
