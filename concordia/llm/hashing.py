@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _M = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 

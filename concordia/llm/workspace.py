@@ -33,11 +33,12 @@ class Workspace:
     """Intermediate Parquet tables of one operator call; drop() frees what later steps don't read."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/concordia/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/concordia/{name}-{uuid.uuid4().hex}", set()
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back: later plans start at the file, so a lost executor costs one task."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -45,6 +46,11 @@ class Workspace:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these, which the result still reads."""
+        self.drop(*(self.names - set(names)))
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
