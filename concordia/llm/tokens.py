@@ -14,7 +14,8 @@ from array import array
 import numpy as np
 
 END_WORD, END_BYTE = 1, 0
-CACHE = 1_000_000
+#: Chunks in each of the two generations of a table: about 50 MB for 250,000.
+CACHE = 250_000
 _ENDS = (",", ".")
 #: Tab, line feed, printable ASCII, Latin-1 and Latin Extended-A (but for the one letter that grows in lower case).
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ]")
@@ -36,10 +37,18 @@ _loaded: dict[str, "Encoder"] = {}
 
 
 class _Table(dict):
-    """Chunk to ids; a missing chunk is made of its pieces, each of which is an entry itself."""
+    """Chunk to ids; a missing chunk is made of its pieces, each of which is an entry itself.
+
+    A full table becomes the older generation, from which chunks that are met again come back, so memory is bounded and frequent
+    chunks stay.
+    """
 
     def __init__(self, model, pieces):
-        self.model, self.pieces = model, pieces
+        self.model, self.pieces, self.older = model, pieces, {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def _put(self, chunk: str, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
@@ -50,6 +59,10 @@ class _Table(dict):
         return out
 
     def __missing__(self, chunk: str) -> bytes:
+        known = self.older.get(chunk)
+        if known is not None:
+            self[chunk] = known
+            return known
         word = chunk[1:] if chunk[:1] == " " else chunk
         if word.isalpha():
             return self._put(chunk, chunk)
@@ -90,7 +103,7 @@ class Encoder:
         else:
             chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         if len(self.table) > CACHE:
-            self.table.clear()
+            self.table.age()
         return b"".join(map(self.table.__getitem__, chunks))
 
 

@@ -135,28 +135,6 @@ def test_shard_lookup():
     assert sorted(slots) == list(range(3000)) and (tokenstore.slot_of(np.arange(3000) * 977, seeds, 3000) == slots).all()
 
 
-def test_packing(docs, rows):
-    got = packing.pack(docs, tokenizer("byte_bpe_50k.json")).toPandas()
-    want = collections.Counter(len(encoded("byte_bpe_50k.json", t, 0)) for _, t in rows)
-    assert got["length"].sum() == sum(k * n for k, n in want.items()) and got["length"].max() <= 2048
-    got = got.sort_values(["sequence_id", "offset"])
-    assert ((got.groupby("sequence_id")["length"].cumsum() - got["length"]) == got["offset"]).all()
-    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
-    assert got["sequence_id"].nunique() <= 1.1 * got["length"].sum() / 2048 + 2
-
-
-def test_packing_small_carry(spark, monkeypatch):
-    base = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id", "substr(text, 1, cast(40 + doc_id * 37 % 300 AS int)) AS text")
-    base = base.unionByName(base.selectExpr("doc_id + 10000 AS doc_id", "substr(text, 1, cast(20 + doc_id * 13 % 150 AS int)) AS text")).repartition(20, "doc_id").cache()
-    most = []
-    for carry in (10**9, 16):
-        monkeypatch.setattr(packing, "CARRY", carry)
-        got = packing.pack(base, tokenizer("byte_bpe_50k.json"), capacity=128).toPandas()
-        assert got.groupby("sequence_id")["length"].sum().max() <= 128
-        most.append((got["length"].sum(), got["sequence_id"].nunique()))
-    assert most[0] == most[1]
-
-
 def test_sharding(docs, rows):
     got = sharding.deal(docs).toPandas()
     assert sorted(got["size"]) == sorted(len(t.encode()) + 8 for _, t in rows)
