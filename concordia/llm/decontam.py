@@ -1,14 +1,18 @@
 """Benchmark decontamination by templates. SQL functions only.
 
-Numbers, names (words that begin with A to Z) and units become typed placeholders; windows of template tokens are
-joined by hash; a match counts if the fillers of its slots map to those of the item one to one, as most places of the
-whole alignment do. So a question with other numbers or names is found, and chance likeness of templates is not. Beside them,
-windows of the words themselves, without regard to case, are joined: a window is held if either form matches. So
+Numbers (also behind a sign), names (words that begin with a capital of any script) and units become typed placeholders;
+windows of template tokens are joined by hash; a match counts if the fillers of its slots map to those of the item one to one,
+as most places of the whole alignment do. So a question with other numbers or names is found, and chance likeness of templates is
+not. Beside them, windows of the words themselves, without regard to case, are joined: a window is held if either form matches. So
 passages in capitals, and items that are mostly numbers or names, whose windows have too many slots, are found too.
 
+An item counts as held by a share of its windows, COVER, or by RUN words of it in a row, word for word, whatever the share.
+
 Odd rows: null and empty texts hold no window and are kept, and so are rows with a null key, which no result could name;
 rows that repeat a key are judged together; benchmark items that are null or have fewer than MIN_ITEM tokens match nothing;
-an empty benchmark flags nothing; an empty table gives an empty one. Only key and text are read.
+several items under one key are one; an empty benchmark flags nothing; an empty table gives an empty one; very long texts are
+searched whole. Ties: of pairings that as many places bear out, equal words go first, then the earlier place. Only key and text are
+read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -22,8 +26,12 @@ WINDOW, MIN_ITEM = 8, 5
 SIGNS = ".,;:!?\"'()[]{}"
 #: Share of an item's windows that one document must hold, and the largest share of slots in a template window.
 COVER, MAX_SLOTS = 0.5, 0.5
-#: Benchmark windows up to this number (32 MB as hashes) are broadcast; more are joined by shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Words in a row, word for word, that make a match by themselves.
+RUN = 13
+#: Benchmark windows with their tokens and fillers are broadcast up to this size; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Signs before a number, as code points.
+LEADS = tuple(map(ord, "$€£¥+-−±~=<>#*"))
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "miles", "l", "ml", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "years", "usd", "eur", "dollars", "euros", "cents", "percent", "mph", "kmh")
 
 
@@ -39,7 +47,10 @@ def _template(words: Column) -> Column:
     """Template token of each word; a placeholder is a sign that no word consists of."""
     def one(w: Column) -> Column:
         first = F.ascii(w)
-        return F.when(first.between(48, 57), "#").when(first.between(65, 90), "@").when(w.isin(*UNITS), "~").otherwise(w)
+        head = F.substring(w, 1, 1)
+        named = first.between(65, 90) | ((first >= 192) & (F.lower(head) != head))
+        counted = first.between(48, 57) | (first.isin(*LEADS) & F.ascii(F.substring(w, 2, 1)).between(48, 57))
+        return F.when(first.between(97, 122), F.when(w.isin(*UNITS), "~").otherwise(w)).when(counted, "#").when(named, "@").otherwise(w)
 
     return F.transform(words, one)
 
@@ -129,8 +140,19 @@ def _agreeing(windows: Column) -> Column:
     return F.get(F.transform(F.array(windows), judged), F.lit(0))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, cover: float = COVER) -> DataFrame:
-    """(key, item, n_windows, share): the items of which a document holds the share cover of windows or more.
+def _longest(places: Column) -> Column:
+    """The longest run of consecutive numbers among distinct ones."""
+    start = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def step(a: Column, p: Column) -> Column:
+        n = F.when(p == a["at"] + 1, a["n"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("at"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
+
+    return F.aggregate(F.array_sort(places), start, step, lambda a: a["best"])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, cover: float = COVER, run: int = RUN) -> DataFrame:
+    """(key, item, n_windows, share, run): the items of which a document holds the share cover of windows or more, or run words in a row.
 
     The share is taken of all windows, and of those that have a template too; the larger one counts. For where names and
     numbers are others, a window with too many slots can't be held.
@@ -146,7 +168,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     for (n,) in sorted(items.select("_n").distinct().collect()):  # at most window - MIN_ITEM + 1 widths, most often one
         own = ws.cut(_located(items.where(F.col("_n") == n), "_item", "_text", n, ws, f"bench{n}"), f"items{n}")
         hashes = own.select("h").distinct()
-        few = own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+        weight = F.lit(120) + F.length(F.array_join("t", "")) + F.length(F.array_join("fill", "")) + 24 * (F.size("t") + F.size("fill"))
+        few = (own.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_BYTES
         near = _located(docs, "_key", "_text", n).join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
         ids = ws.cut(near.select("_key").distinct(), f"ids{n}")
         close = _located(select_ids(docs, ids, "left_semi", "_key"), "_key", "_text", n, ws, f"close{n}")
@@ -157,25 +180,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         lines = pairs.groupBy("_key", "_item", "_shift").agg(
             F.collect_set(F.when(F.col("lit"), F.col("_pos"))).alias("_same"), F.collect_set(F.when(~F.col("lit"), F.struct(F.col("_pos").alias("at"), F.col("_pairs").alias("pairs")))).alias("_windows")
         )
-        lines = lines.select("_key", "_item", F.explode(F.concat("_same", _agreeing(F.col("_windows")))).alias("_pos")).distinct()
+        lines = lines.select("_key", "_item", _longest(F.col("_same")).alias("_run"), F.explode(F.concat("_same", _agreeing(F.col("_windows")))).alias("_pos"))
+        lines = lines.groupBy("_key", "_item", "_pos").agg(F.max("_run").alias("_run"))
         places = own.groupBy("_item", F.col("pos").alias("_pos")).agg((~F.min("lit")).cast("long").alias("_slim"))
         counts = places.groupBy("_item").agg(F.count("*").alias("_all"), F.sum("_slim").alias("_slims"))
         places, counts = (F.broadcast(x) if few else x for x in (places, counts))
-        held = lines.join(places, ["_item", "_pos"]).groupBy("_key", "_item").agg(F.count("*").alias("n_windows"), F.sum("_slim").alias("_slim")).join(counts, "_item")
+        held = lines.join(places, ["_item", "_pos"]).groupBy("_key", "_item").agg(F.count("*").alias("n_windows"), F.sum("_slim").alias("_slim"), F.max("_run").alias("_run")).join(counts, "_item")
         share = F.greatest(F.col("n_windows") / F.col("_all"), F.when(F.col("_slims") > 0, F.col("_slim") / F.col("_slims")))
-        held = held.select("_key", "_item", "n_windows", share.alias("share")).where(F.col("share") >= F.lit(cover))
+        words = F.when(F.col("_run") > 0, F.col("_run") + (n - 1)).otherwise(0)
+        held = held.select("_key", "_item", "n_windows", share.alias("share"), words.cast("int").alias("run")).where((F.col("share") >= F.lit(cover)) | (F.col("run") >= F.lit(run)))
         found = held if found is None else found.unionByName(held)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "_key long, _item long, n_windows long, share double")
+        found = docs.sparkSession.createDataFrame([], "_key long, _item long, n_windows long, share double, run int")
+    else:
+        found = ws.cut(found, "found")
+        ws.keep("found")
     return found.withColumnsRenamed({"_key": key, "_item": item})
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document: kept is false if it holds an item; n_windows, max_share and item_ids tell how much of which."""
-    hit = matches(docs, benchmark).groupBy("doc_id").agg(F.sum("n_windows").alias("n_windows"), F.max("share").alias("max_share"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    hit = hit.select("doc_id", "n_windows", "max_share", "item_ids", F.lit(True).alias("_hit"))
+    """A row for each document: kept is false if it holds an item; n_windows, max_share, longest_run and item_ids tell how much of which."""
+    hit = matches(docs, benchmark).groupBy("doc_id").agg(F.sum("n_windows").alias("n_windows"), F.max("share").alias("max_share"), F.max("run").alias("longest_run"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    hit = hit.select("doc_id", "n_windows", "max_share", "longest_run", "item_ids", F.lit(True).alias("_hit"))
     out = docs.select("doc_id").join(hit, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("max_share", F.lit(0.0)).alias("max_share"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.col("_hit").isNull().alias("kept"))
+    return out.select("doc_id", F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("max_share", F.lit(0.0)).alias("max_share"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.col("_hit").isNull().alias("kept"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
