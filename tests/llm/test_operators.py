@@ -135,16 +135,6 @@ def test_shard_lookup():
     assert sorted(slots) == list(range(3000)) and (tokenstore.slot_of(np.arange(3000) * 977, seeds, 3000) == slots).all()
 
 
-def test_sharding(docs, rows):
-    got = sharding.deal(docs).toPandas()
-    assert sorted(got["size"]) == sorted(len(t.encode()) + 8 for _, t in rows)
-    assert sorted(got["text_crc32"]) == sorted(zlib.crc32(t.encode()) for _, t in rows)
-    for _, g in got.groupby("shard"):
-        assert sorted(g["slot"]) == list(range(len(g)))
-    placed = sharding.best_fit_decreasing([("a", 5), ("b", 5), ("c", 3), ("d", 3), ("e", 4)], 2, 10)
-    assert placed["a"] == placed["b"] and len({placed["c"], placed["d"], placed["e"]}) == 1
-
-
 def test_decontamination(spark):
     item = "In 1999 the farmer Anna sold 12 kg of apples to her neighbour for 30 euros and kept the rest."
     other = item.replace("1999", "2004").replace("Anna", "Maria").replace("12", "55").replace("30", "81")
