@@ -3,8 +3,9 @@
 Features of a whole text: words and pairs of words, each once, scaled by their number's root; and n-grams of word shapes (kind,
 length, whether the word returns at once), by the power of two of their share. A score is a sparse dot product.
 
-Odd rows: a null or empty text has the bias feature alone; repeated rows score alike; without labels of both kinds every score is
-the share of label 1, or 0; an empty table gives an empty one.
+Odd rows: a null or empty text has the bias feature alone; repeated rows score alike; very long texts are scored whole; a score at the
+cut counts as 1; without labels of both kinds every score is the share of label 1, or 0; an empty table gives an empty one. Only key and
+text are read, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -5,12 +5,16 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import arrow_batches, freed
 
+#: A sample holds texts of LONGEST bytes at most, and ends at BYTES bytes; both bound what the training task holds in memory.
+LONGEST, BYTES = 1 << 20, 64 << 20
+
 
 def held_out(key: str = "doc_id") -> Column:
     """Rows whose labels no model may learn from; a null key is not held out."""
@@ -33,10 +37,18 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, bound: int, train: C
     arrow_batches(docs.sparkSession)
 
     def work(batches):
-        rows = sorted((int(k), g, t, int(y)) for x in batches for k, g, t, y in zip(x["doc_id"], x["lang"], x["text"], x["y"]))
-        yield pd.DataFrame({"model": [pickle.dumps(train(rows[:bound]), pickle.HIGHEST_PROTOCOL)]})
+        rows, size = [], 0
+        for b in batches:
+            for row in zip(*(b.column(c) for c in ("doc_id", "lang", "text", "y"))):
+                k, g, t, y = (x.as_py() for x in row)
+                size += len(t.encode())
+                if size <= BYTES and len(rows) < bound:
+                    rows.append((k, g, t, y))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sorted(rows)), pickle.HIGHEST_PROTOCOL)], pa.binary())], ["model"])
 
-    made = docs.select(*cols).join(few, "doc_id").select("doc_id", "lang", "text", "y").repartition(1).mapInPandas(freed(work), "model binary").collect()
+    sample = docs.select(*cols).where(F.octet_length("text") <= LONGEST).join(few, "doc_id")
+    sample = sample.groupBy("doc_id", "y").agg(F.min(F.struct("lang", "text")).alias("one")).select("doc_id", "one.*", "y")  # one row of those that repeat a key
+    made = sample.repartition(1).sortWithinPartitions(order, "doc_id", "text").mapInArrow(freed(work), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else train([])
 
 
@@ -45,13 +57,11 @@ def scored(docs: DataFrame, score: Callable[[list], object], *more: str) -> Data
     arrow_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     cols = ["doc_id", *more]
-    src = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def work(batches):
         for b in batches:
-            out = b[cols].copy()
-            out["doc_id"] = pd.array([None if pd.isna(k) else int(k) for k in b["doc_id"]], "Int64")
-            out["score"] = score(b["text"].tolist())
-            yield out
+            rates = np.asarray(score(b.column("text").to_pylist()), np.float64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(rates)], [*cols, "score"])
 
-    return src.mapInPandas(freed(work), ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "score double"]))
+    return src.mapInArrow(freed(work), ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "score double"]))

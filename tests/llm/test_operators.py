@@ -172,24 +172,6 @@ def test_decontamination_one_altered_place(spark):
     assert got[4][1] == [2] and got[5] == (0, [])
 
 
-def test_classifiers(spark, docs):
-    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    both = base.unionByName(docs.select(*base.columns).where("source = 'odd'"))
-    n = both.count()
-    q = quality_clf.score(both, labels).toPandas().merge(labels.toPandas(), on="doc_id")
-    held = q[q["held_out"]]
-    assert (held["predicted"] == held["quality"]).mean() > 0.93
-    t = toxicity.score(both, labels)
-    assert t.count() == n and t.where("score between 0 and 1").count() == n
-    got = langid.predict(both).toPandas()
-    assert len(got) == n
-    m = got.merge(base.select("doc_id", "lang").toPandas(), on="doc_id")
-    assert (m["lang_pred"] == m["lang"])[m["held_out"]].mean() > 0.97
-    assert set(got[got["doc_id"].isin([900001, 900002, 900003])]["lang_pred"]) == {"und"}
-    assert quality_clf.score(both.limit(3), labels.limit(0)).where("score = 0").count() == 3
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
