@@ -2,20 +2,25 @@
 
 A shard holds documents in ascending key order: a header, a minimal perfect hash over its distinct keys, a 32-bit
 fingerprint and the first document of each slot, the ids' offsets of each document, and the raw ids, little-endian unsigned
-32-bit. A lookup reads one displacement, one slot, one fingerprint and one slice: constant time. Shards are binary cells of
-a Parquet table in a shared folder, so that Spark's commit protocol guards them against lost executors on any store.
+16-bit where all fit, else 32-bit. A lookup reads one displacement, one slot, one fingerprint and one slice: constant time. Shards
+are uncompressed binary cells of a Parquet table in a shared folder, so that Spark's commit protocol guards them against lost
+executors on any store that Spark can write. Row groups are about a shard each and carry its range of keys, so a keyed read loads
+one shard, SHARD_IDS ids or one document, whatever the table's size.
 
 Odd rows: a null or empty text has the end id alone; a null key sorts first and is found under None; rows that repeat a key
-follow each other and are all found under it; an empty table makes no shard. Only key and text are read.
+follow each other by hash of their text, over several shards if they are many, and are all found under it; a very long text makes a
+shard by itself; an empty table makes no shard. Only key and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,9 +29,13 @@ from .hashing import mix
 from .tokens import END_WORD, encoder
 from .workspace import Workspace, arrow_batches, freed
 
-MAGIC, HEAD = b"TOKS", struct.Struct("<4sIQQQQ")
+MAGIC, HEAD = b"TOK2", struct.Struct("<4sIQQQQQ")
 #: A shard is closed as it reaches so many ids or documents.
-SHARD_IDS, SHARD_DOCS = 1 << 20, 4096
+SHARD_IDS, SHARD_DOCS = 1 << 19, 4096
+
+#: Keys that lookup() asks for at once.
+BLOCK = 64
+SCHEMA = (("part", pa.int32()), ("shard", pa.int32()), ("nulls", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("ids", pa.int64()), ("blob", pa.binary()))
 
 
 def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,24 +98,25 @@ def pack(keys: list, payloads: list[bytes]) -> bytes:
     marks, docs = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
     marks[slots], docs[slots] = fingerprint(distinct), first + nulls
     ends = np.cumsum([0] + [len(p) // 4 for p in payloads], dtype="<u8")
-    head = HEAD.pack(MAGIC, nulls, len(keys), len(distinct), len(seeds), int(ends[-1]))
-    return b"".join([head, seeds.astype("<i4").tobytes(), marks.tobytes(), docs.tobytes(), ends.tobytes(), named.astype("<i8").tobytes(), *payloads])
+    ids = np.frombuffer(b"".join(payloads), "<u4")
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    head = HEAD.pack(MAGIC, nulls, len(keys), len(distinct), len(seeds), int(ends[-1]), width)
+    return b"".join([head, seeds.astype("<i4").tobytes(), marks.tobytes(), docs.tobytes(), ends.tobytes(), named.astype("<i8").tobytes(), ids.astype(f"<u{width}").tobytes()])
 
 
 class Shard:
     """Reader of one shard."""
 
     def __init__(self, blob: bytes):
-        magic, self.nulls, self.n, self.m, r, self.n_ids = HEAD.unpack_from(blob)
+        magic, self.nulls, self.n, self.m, r, n_ids, width = HEAD.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = HEAD.size
         parts = []
-        for kind, count in (("<i4", r), ("<u4", self.m), ("<u4", self.m), ("<u8", self.n + 1), ("<i8", self.n - self.nulls)):
+        for kind, count in (("<i4", r), ("<u4", self.m), ("<u4", self.m), ("<u8", self.n + 1), ("<i8", self.n - self.nulls), (f"<u{width}", n_ids)):
             parts.append(np.frombuffer(blob, kind, count, at))
             at += parts[-1].nbytes
-        self.seeds, self.marks, self.docs, self.ends, self.keys = parts
-        self.ids = np.frombuffer(blob, "<u4", self.n_ids, at)
+        self.seeds, self.marks, self.docs, self.ends, self.keys, self.ids = parts
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """First document of each key, or -1 where the fingerprint says that the shard has no such key."""
@@ -115,21 +125,28 @@ class Shard:
         s = slot_of(keys, self.seeds, self.m)
         return np.where(self.marks[s] == fingerprint(keys), self.docs[s].astype(np.int64), -1)
 
+    def spans(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First document of each key and the one after its last, both -1 where the shard has no such key. Keys aren't null."""
+        first = self.find(keys)
+        near = np.where(first < 0, 0, first - self.nulls)
+        first = np.where((first >= 0) & (self.keys[near] == keys), first, -1) if len(self.keys) else first
+        last = np.where(first < 0, -1, first + 1)
+        for i in np.flatnonzero((first >= 0) & (last < self.n)):
+            if self.keys[last[i] - self.nulls] == keys[i]:  # a repeated key
+                last[i] = self.nulls + int(np.searchsorted(self.keys, keys[i], "right"))
+        return first, last
+
+    def payload(self, doc: int) -> np.ndarray:
+        return self.ids[int(self.ends[doc]) : int(self.ends[doc + 1])].astype("<u4")
+
     def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of each document under key."""
-        if key is None:
-            span = range(self.nulls)
-        else:
-            i = int(self.find(np.array([key]))[0])
-            if i < 0 or self.keys[i - self.nulls] != key:
-                return []
-            j = i + int(np.searchsorted(self.keys[i - self.nulls :], key, "right"))
-            span = range(i, j)
-        return [self.ids[self.ends[k] : self.ends[k + 1]] for k in span]
+        lo, hi = (0, self.nulls) if key is None else (int(x[0]) for x in self.spans(np.array([key], np.int64)))
+        return [self.payload(k) for k in range(lo, hi)]
 
 
 def write(docs: DataFrame, tokenizer: str, ws: Workspace, key: str = "doc_id", text: str = "text", end: int = END_WORD) -> DataFrame:
-    """Shards (part, shard, low, high, ids, blob), sorted by key over all parts."""
+    """Shards (part, shard, nulls, low, high, ids, blob), sorted by key over all parts."""
     arrow_batches(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
@@ -140,24 +157,30 @@ def write(docs: DataFrame, tokenizer: str, ws: Workspace, key: str = "doc_id", t
 
         def row():
             named = [k for k in keys if k is not None]
-            return pd.DataFrame({"part": [part], "shard": [shard], "low": pd.array([named[0] if named else None], "Int64"), "high": pd.array([named[-1] if named else None], "Int64"), "ids": [size // 4], "blob": [pack(keys, load)]})
+            cells = [[part], [shard], [len(keys) - len(named)], [named[0] if named else None], [named[-1] if named else None], [size // 4], [pack(keys, load)]]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(cells, SCHEMA)], [name for name, _ in SCHEMA])
 
         for b in batches:
-            for k, t in zip(b[key], b[text]):
-                keys.append(None if pd.isna(k) else int(k))
-                load.append(enc.ids(t) + tail)
-                size += len(load[-1])
-                if size >= 4 * SHARD_IDS or len(keys) >= SHARD_DOCS:
+            for k, t in zip(b.column("key"), b.column("text")):
+                ids = enc.ids(t.as_py()) + tail
+                if keys and size + len(ids) > 4 * SHARD_IDS or len(keys) >= SHARD_DOCS:
                     yield row()
                     keys, load, size, shard = [], [], 0, shard + 1
+                keys.append(k.as_py())
+                load.append(ids)
+                size += len(ids)
         if keys:
             yield row()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    dealt = dealt.repartitionByRange(n, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
-    dealt = dealt.select(F.col(key).cast("string").alias(key), F.coalesce(text, F.lit("")).alias(text))  # a long with nulls would come as a float
-    return ws.cut(dealt.mapInPandas(freed(work), "part int, shard int, low long, high long, ids long, blob binary"), "shards")
+    dealt = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # hash and number divide the rows of one key, however many there are; rows alike in key and text may change places
+    dealt = dealt.withColumn("h", F.xxhash64("text")).withColumn("u", F.monotonically_increasing_id())
+    order = [F.col("key").asc_nulls_first(), F.col("h"), F.col("u")]
+    dealt = dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "text")
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    shards = dealt.mapInArrow(freed(work), ", ".join(f"{name} {kinds[kind]}" for name, kind in SCHEMA))
+    return ws.cut(shards, "shards", **{"compression": "none", "parquet.block.size": str(1 << 20), "parquet.page.size": str(1 << 20), "parquet.enable.dictionary": "false"})
 
 
 def read(shards: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -174,32 +197,36 @@ def read(shards: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def work(batches):
         for b in batches:
-            for part, ahead, blob in zip(b["part"], b["before"], b["blob"]):
-                s = Shard(blob)
-                places = s.find(s.keys)
-                back = s.docs[slot_of(s.keys, s.seeds, s.m)] if s.m else places
-                if (places < 0).any() or (s.keys[places - s.nulls] != s.keys).any() or (back != places).any():
+            for part, ahead, blob in zip(*(b.column(c) for c in ("part", "before", "blob"))):
+                s = Shard(blob.as_py())
+                wanted = np.unique(s.keys)
+                first, last = s.spans(wanted)
+                if (first < 0).any():
                     raise ValueError("the index misses a key")
+                span = last - first
+                found = np.concatenate([np.arange(s.nulls), np.repeat(first - np.cumsum(span) + span, span) + np.arange(span.sum())]).astype(np.int64)
+                keys = pa.array([None] * s.nulls + np.repeat(wanted, span).tolist(), pa.int64())
                 ends = s.ends.astype(np.int64)
-                crc = [zlib.crc32(s.ids[ends[i] : ends[i + 1]].tobytes()) for i in range(s.n)]
-                keys = pd.array([None] * s.nulls + s.keys.tolist(), "Int64")
-                yield pd.DataFrame({key: keys, "start": base[part] + ahead + ends[:-1], "n_tokens": np.diff(ends), "ids_crc32": np.array(crc, np.int64)})
+                crc = np.array([zlib.crc32(s.payload(i).tobytes()) for i in found], np.int64)
+                start = base[part.as_py()] + ahead.as_py() + ends[found]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(ends[found + 1] - ends[found]), pa.array(crc)], [key, "start", "n_tokens", "ids_crc32"])
 
     few = shards.select("part").limit(100_001).count() <= 100_000
     placed = shards.join(F.broadcast(starts) if few else starts, ["part", "shard"])
-    return placed.select("part", "before", "blob").mapInPandas(freed(work), f"{key} long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("part", "before", "blob").mapInArrow(freed(work), f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(shards: DataFrame, keys: list[int | None]) -> dict:
-    """Ids of a stated list of keys: only shards whose range holds one are opened."""
+    """Ids of a stated list of keys, in blocks of BLOCK: the filter on ranges reaches the scan, so only shards that may hold one are read."""
     out: dict = {k: [] for k in keys}
-    hit = F.lit(False)
-    for k in keys:
-        hit = hit | (F.col("low").isNull() | (F.col("low") <= k) & (F.col("high") >= k) if k is not None else F.lit(True))
-    for r in shards.where(hit).orderBy("part", "shard").toLocalIterator():
-        s = Shard(bytes(r["blob"]))
-        for k in keys:
-            out[k].extend(s.get(k))
+    wanted = list(out)
+    for lo in range(0, len(wanted), BLOCK):
+        some = wanted[lo : lo + BLOCK]
+        hits = [F.col("nulls") > 0 if k is None else (F.col("low") <= k) & (F.col("high") >= k) for k in some]
+        for r in shards.where(reduce(or_, hits)).orderBy("part", "shard").toLocalIterator():
+            s = Shard(bytes(r["blob"]))
+            for k in some:
+                out[k].extend(s.get(k))
     return out
 
 

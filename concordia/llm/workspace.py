@@ -35,11 +35,11 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/concordia/{name}-{uuid.uuid4().hex}", set()
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write df and read it back: later plans start at the file, so a lost executor costs one task."""
         path = f"{self.root}/{name}"
         self.names.add(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").options(**{"compression": "zstd"} | options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

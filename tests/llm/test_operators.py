@@ -111,30 +111,6 @@ def test_near_duplicates(docs, rows):
     assert got == want
 
 
-def encoded(name, text, end):
-    from tokenizers import Tokenizer
-
-    return np.array(Tokenizer.from_file(tokenizer(name)).encode(text, add_special_tokens=False).ids + [end], "<u4")
-
-
-def test_token_store(docs, rows):
-    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenstore.digest(docs, tokenizer("word_bpe_49k.json")).collect())
-    at, want = 0, []
-    for k, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = encoded("word_bpe_49k.json", t, 1)
-        want.append((at, k, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    assert got == want
-
-
-def test_shard_lookup():
-    blob = tokenstore.pack([None, 3, 3, 7, 2**40], [np.array(x, "<u4").tobytes() for x in ([1], [2, 3], [], [4], [5, 6, 7])])
-    s = tokenstore.Shard(blob)
-    assert [a.tolist() for a in s.get(3)] == [[2, 3], []] and s.get(5) == [] and s.get(2**40)[0].tolist() == [5, 6, 7] and s.get(None)[0].tolist() == [1]
-    seeds, slots = tokenstore.build_hash(np.arange(3000, dtype=np.int64) * 977)
-    assert sorted(slots) == list(range(3000)) and (tokenstore.slot_of(np.arange(3000) * 977, seeds, 3000) == slots).all()
-
-
 def test_decontamination(spark):
     item = "In 1999 the farmer Anna sold 12 kg of apples to her neighbour for 30 euros and kept the rest."
     other = item.replace("1999", "2004").replace("Anna", "Maria").replace("12", "55").replace("30", "81")
