@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -148,11 +148,10 @@ def components(ws: Workspace, name: str, links: DataFrame) -> DataFrame:
         new = label.join(told, "doc_id").select("doc_id", F.col("comp").alias("was"), F.least("comp", "near").alias("mid"))
         jump = label.select(F.col("doc_id").alias("mid"), F.col("comp").alias("far"))
         new = new.join(jump, "mid", "left").select("doc_id", "was", F.least("mid", F.coalesce("far", "mid")).alias("comp"))
-        new = ws.cut(new, f"{name}_{i}")
-        done = new.where("was != comp").isEmpty()
+        seen = Observation()
+        label = ws.cut(new.observe(seen, F.count_if(F.col("was") != F.col("comp")).alias("moved")), f"{name}_{i}").select("doc_id", "comp")
         ws.drop(f"{name}_{i - 1}")
-        label = new.select("doc_id", "comp")
-        if done:
+        if not seen.get["moved"]:
             ws.drop(f"{name}_both")
             return label
 

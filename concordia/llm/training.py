@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import arrow_batches, freed
+from .workspace import arrow_batches, freed, give_back
 
 #: A sample holds texts of LONGEST bytes at most, and ends at BYTES bytes; both bound what the training task holds in memory.
 LONGEST, BYTES = 1 << 20, 64 << 20
@@ -49,6 +49,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, bound: int, train: C
     sample = docs.select(*cols).where(F.octet_length("text") <= LONGEST).join(few, "doc_id")
     sample = sample.groupBy("doc_id", "y").agg(F.min(F.struct("lang", "text")).alias("one")).select("doc_id", "one.*", "y")  # one row of those that repeat a key
     made = sample.repartition(1).sortWithinPartitions(order, "doc_id", "text").mapInArrow(freed(work), "model binary").collect()
+    give_back(docs.sparkSession)
     return pickle.loads(made[0]["model"]) if made else train([])
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 #: Rows in an Arrow batch, so that a batch of very long texts fits a Python worker.
 BATCH_ROWS = 256
+#: Seconds between two times that the driver gives back memory.
+PAUSE = 2.0
+_last = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +45,7 @@ class Workspace:
         path = f"{self.root}/{name}"
         self.names.add(name)
         df.write.mode("overwrite").options(**{"compression": "zstd"} | options).parquet(path)
+        give_back(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -53,6 +59,29 @@ class Workspace:
         self.drop(*(self.names - set(names)))
 
 
+def give_back(spark: SparkSession) -> None:
+    """The driver's JVM gives native memory that it has freed back to the machine, where it has the command for it; at most every PAUSE seconds.
+
+    Compilers and the threads of many small stages each leave some in an allocator's arena of their own.
+    """
+    global _last
+    if time.monotonic() - _last < PAUSE:
+        return
+    _last = time.monotonic()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        bean = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kinds, values = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        kinds[0], kinds[1] = jvm.java.lang.Class.forName("javax.management.ObjectName"), jvm.java.lang.Class.forName("java.lang.String")
+        kinds[2], kinds[3] = jvm.java.lang.Class.forName("[Ljava.lang.Object;"), jvm.java.lang.Class.forName("[Ljava.lang.String;")
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        values[2], values[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+        # by the interface's method, as the bean's own class isn't open to calls
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(bean, values)
+    except Py4JError:  # a JVM without the command
+        pass
+
+
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Hold Arrow batches to so many rows; texts may be very long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
