@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Latin letters and the Cyrillic letters that look like them, by place.
@@ -99,3 +99,41 @@ def has_phrase(words: Column, phrase: str, max_gap: int = 2) -> Column:
         return F.size(starts) > 0
 
     return F.exists(F.array(words), follows)
+
+
+def token_key(t: Column) -> Column:
+    """Look-alikes as one, lower case; white space stays."""
+    return F.lower(F.translate(t, LATIN, CYRILLIC))
+
+
+def squash(t: Column) -> Column:
+    """A string's key without white space, and without the changes of tidy."""
+    return F.regexp_replace(token_key(t), rf"(?U){SPACE}+", "")
+
+
+def normalize(t: Column) -> Column:
+    """Line feeds alone end lines, and no white space is at the ends."""
+    return F.regexp_replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), TRIM, "")
+
+
+def tokens(t: Column) -> Column:
+    """Numbers with inner signs, words, and single punctuation marks, in order."""
+    return F.regexp_extract_all(t, F.lit(r"\p{Nd}+(?:[.,:/*x×-]\p{Nd}+)*|[\p{L}\p{N}_][\p{L}\p{N}_'-]*|(?U:[^\p{L}\p{N}_\s\x1c-\x1f])"), F.lit(0))
+
+
+def known_worth(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, worth): known words and numbers of the lines of which three fifths or more are known; lexicon has word, in lower case.
+
+    Words are looked up once for each distinct one. A word is known if its parts between hyphens are; rows that repeat a key are
+    summed; a null or empty text has no words, so it is worth 0.
+    """
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    found = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+    words = found.select("doc_id", "row", "line", F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}[\p{L}\p{N}_'-]{2,}|\p{Nd}+"), F.lit(0))).alias("word"))
+    number = F.col("word").rlike(r"^\p{Nd}+$")
+    parts = words.where(~number).select("word").distinct().select("word", F.explode(F.array_remove(F.split(F.lower("word"), "-", -1), "")).alias("part"))
+    known = parts.join(lexicon.select(F.col("word").alias("part")).distinct().withColumn("there", F.lit(1)), "part", "left").groupBy("word").agg(F.min(F.coalesce("there", F.lit(0))).alias("known"))
+    rated = words.join(known, "word", "left").withColumn("good", F.when(number, 1).otherwise(F.coalesce("known", F.lit(0))))
+    lines = rated.groupBy("doc_id", "row", "line").agg(F.sum("good").alias("good"), F.count("*").alias("n")).where("5 * good >= 3 * n")
+    worth = lines.groupBy("doc_id").agg(F.sum("good").alias("worth"))
+    return docs.select("doc_id").distinct().join(worth, "doc_id", "left").select("doc_id", F.coalesce("worth", F.lit(0)).cast("long").alias("worth"))

@@ -1,4 +1,9 @@
-"""Several readings of a document: base reading, line majority, agreement."""
+"""Several readings of a document: base reading, line majority, agreement, error rates.
+
+Odd rows: a null reading abstains; a line that no reading has is empty and not decided; lines are told apart by (doc_id, row_no), so rows
+that repeat a document count again; null texts have no lines; an empty table gives an empty one. Ties go to the witness first in
+WITNESSES.
+"""
 
 from __future__ import annotations
 
@@ -9,40 +14,58 @@ from pyspark.sql.window import Window
 from concordia.functions import text as T
 
 WITNESSES = ("chrome", "photos", "tesseract")
+#: Share, in sixteenths, of the lines that a synthetic reading has wrong.
+LEVELS = {"chrome": "1", "photos": "3", "tesseract": "7"}
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all shuffle partitions if its files make fewer: line work is heavy for its bytes. A table of many files stays as it is."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(n, "doc_id") if docs.rdd.getNumPartitions() < n else docs
 
 
 def synthesize(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_no and a column for each witness): the document's lines with errors picked by md5, line counts kept."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row_no", "line"))
-    levels = {"chrome": "1", "photos": "3", "tesseract": "7"}
+    """(doc_id, row_no, truth and a column for each witness): the document's lines with errors picked by md5, line counts kept.
+
+    Errors are a wrong letter, lost full stops, Latin letters as the Cyrillic ones that look like them, and, for the last witness, no reading.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row_no", "truth"))
 
     def noisy(w: str) -> Column:
-        h = F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(w), F.col("row_no").cast("string"))), 1, 1)
-        bad = F.when(h == "0", F.replace("line", F.lit("e"), F.lit("c"))).otherwise(F.replace("line", F.lit("."), F.lit("")))
-        return F.when(h < levels[w], bad).otherwise(F.col("line")).alias(w)
+        h = F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(w), F.col("row_no").cast("string"))), 1, 2)
+        first, second = F.substring(h, 1, 1), F.substring(h, 2, 1)
+        bad = F.when(first == "0", F.replace("truth", F.lit("e"), F.lit("c"))).when(second < "6", F.translate("truth", T.LATIN, T.CYRILLIC)).otherwise(F.replace("truth", F.lit("."), F.lit("")))
+        read = F.when(first < LEVELS[w], bad).otherwise(F.col("truth"))
+        return (F.when(h != "ff", read) if w == WITNESSES[-1] else read).alias(w)
 
-    return lines.select("doc_id", "row_no", *(noisy(w) for w in WITNESSES))
+    return lines.select("doc_id", "row_no", "truth", *(noisy(w) for w in WITNESSES))
 
 
 def decide(rows: DataFrame) -> DataFrame:
     """rows with line and decided: the largest group of equal keys wins if it has two members or stands alone.
 
-    A null reading abstains. Within the group the spelling with the most Cyrillic letters wins, then priority.
+    A null reading abstains. Within the group the spelling with the most Cyrillic letters wins, then priority. Keys are made only for
+    rows whose readings differ; where all are one string, that string is the line.
     """
-    folds = [F.when(F.col(w).isNotNull(), T.fold(F.col(w))).alias(f"_f{i}") for i, w in enumerate(WITNESSES)]
-    rows = rows.withColumns({f"_f{i}": f for i, f in enumerate(folds)})
+    read = [F.col(w) for w in WITNESSES]
+    first = F.coalesce(*read)
+    alike = F.lit(True)
+    for r in read:
+        alike = alike & (r.isNull() | (r == first))
+    rows = rows.withColumn("_alike", alike)
+    rows = rows.withColumns({f"_f{i}": F.when(~F.col("_alike") & r.isNotNull(), T.fold(r)) for i, r in enumerate(read)})
     f = [F.col(f"_f{i}") for i in range(3)]
-    same = lambda i, j: F.coalesce(f[i] == f[j], F.lit(False))
-    group = [F.when(f[i].isNotNull(), sum((same(i, j).cast("int") for j in range(3)), F.lit(0))).otherwise(0) for i in range(3)]
-    rows = rows.withColumns({f"_n{i}": g for i, g in enumerate(group)})
+    same = lambda i, j: F.coalesce(f[i] == f[j], F.lit(False)).cast("int")
+    rows = rows.withColumns({f"_n{i}": sum((same(i, j) for j in range(3)), F.lit(0)) for i in range(3)})
     top = F.greatest(*(F.col(f"_n{i}") for i in range(3)))
     lead = F.coalesce(*(F.when(F.col(f"_n{i}") == top, f[i]) for i in range(3)))
-    cands = F.array(*(F.when(f[i] == F.col("_lead"), F.struct(T.count(F.col(w), T.CYR.replace("[", "[^", 1)).alias("c"), F.lit(-i).alias("p"), F.col(w).alias("t"))) for i, w in enumerate(WITNESSES)))
-    n = sum((x.isNotNull().cast("int") for x in f), F.lit(0))
     rows = rows.withColumn("_lead", lead).withColumn("_top", top)
-    rows = rows.withColumn("decided", (F.col("_top") >= 2) | (n == 1)).withColumn("line", T.tidy(F.array_max(cands)["t"]))
-    base = T.tidy(F.coalesce(*(F.col(w) for w in WITNESSES)))
-    return rows.select("doc_id", "row_no", F.when(F.col("decided"), F.col("line")).otherwise(base).alias("line"), "decided")
+    cyrillic = lambda c: T.count(c, T.CYR.replace("[", "[^", 1))
+    cands = F.array(*(F.when(f[i] == F.col("_lead"), F.struct(cyrillic(r).alias("c"), F.lit(-i).alias("p"), r.alias("t"))) for i, r in enumerate(read)))
+    n = sum((r.isNotNull().cast("int") for r in read), F.lit(0))
+    rows = rows.withColumn("decided", F.when(F.col("_alike"), n > 0).otherwise(F.col("_top") >= 2))
+    pick = F.when(~F.col("_alike") & F.col("decided"), F.array_max(cands)["t"]).otherwise(first)
+    return rows.select("doc_id", "row_no", T.tidy(pick).alias("line"), "decided")
 
 
 def reassemble(lines: DataFrame) -> DataFrame:
@@ -54,3 +77,14 @@ def base_witness(texts: DataFrame) -> DataFrame:
     """(doc_id, witness): the first by priority whose quality is half the best or more; texts has doc_id, witness, rank, quality."""
     best = F.max("quality").over(Window.partitionBy("doc_id"))
     return texts.withColumn("best", best).where((F.col("quality") > 0) & (2 * F.col("quality") >= F.col("best"))).groupBy("doc_id").agg(F.min_by("witness", "rank").alias("witness"))
+
+
+def error_rates(rows: DataFrame, *readings: str) -> DataFrame:
+    """(reading, errors, chars, exact, lines): per column of rows the edits to truth, truth's characters, and lines without an edit.
+
+    Other characters than ASCII count as one and the same, so all engines measure alike; a null reading is an empty one.
+    """
+    plain = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\x00-\x7f]", "?")
+    each = F.array(*(F.struct(F.lit(r).alias("reading"), F.when(plain(r) == plain("truth"), 0).otherwise(F.levenshtein(plain(r), plain("truth"))).alias("e")) for r in readings))
+    got = rows.select(F.length(F.coalesce("truth", F.lit(""))).alias("n"), F.explode(each).alias("x")).select("n", "x.*")
+    return got.groupBy("reading").agg(F.sum("e").alias("errors"), F.sum("n").alias("chars"), F.count_if(F.col("e") == 0).alias("exact"), F.count("*").alias("lines"))

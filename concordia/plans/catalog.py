@@ -1,45 +1,72 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over whole tables; plans/oracle.py has the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from concordia.functions import similarity
 from concordia.functions import text as T
 from concordia.operators import consensus, sequence, witnesses
+from concordia.sources import extract, files, sinks
 
-PHRASE = "of the"
+from . import product
+from .oracle import oracle_sql  # noqa: F401  the catalog's other half
+
+PHRASE, LONG_PHRASE, NEAR_PHRASE = "of the", "the and to", "the tionly"
+#: A reader that can't run any more, and those that are asked.
+DEAD, ACTIVE = "view", ("view", "click", "purchase")
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(spark, d) -> DataFrame:
+    return witnesses.spread(_t(spark, d, "documents"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three readings, line majority, reassembly, phrase filter."""
-    voted = witnesses.reassemble(witnesses.decide(witnesses.synthesize(_t(spark, sf_dir, "documents"))))
+    voted = witnesses.reassemble(witnesses.decide(witnesses.synthesize(_docs(spark, sf_dir))))
     voted = voted.withColumn("words", T.phrase_words(F.col("text")))
     return voted.where(T.has_phrase(F.col("words"), PHRASE)).select("doc_id", "n_lines", "agreed", F.md5("text").alias("digest"))
 
 
 def _boxes(spark, d):
-    w = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("seq", "word"))
-    return w.where("word <> '' and not contains(word, '\n')").select(
-        F.col("doc_id").alias("page"), "seq", "word", F.floor(F.col("seq") / 8).cast("int").alias("r")
-    ).select("page", "seq", "word", (F.col("r") * 40 + F.pmod(F.col("seq") * 7, F.lit(5))).alias("top"), (F.pmod("seq", F.lit(8)) * 100).alias("left"), (F.lit(40) + F.pmod(F.col("seq") * 13, F.lit(61))).alias("width"), (F.lit(18) + F.pmod("seq", F.lit(5))).alias("height"))
+    """Every word of every text as a box, eight to a row."""
+    w = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("seq", "word")).where("word <> ''")
+    r = F.floor(F.col("seq") / 8).cast("int")
+    return w.select(
+        F.col("doc_id").alias("page"), "seq", "word", (r * 40 + F.pmod(F.col("seq") * 7, F.lit(5))).alias("top"), (F.pmod("seq", F.lit(8)) * 100).alias("left"),
+        (F.lit(40) + F.pmod(F.col("seq") * 13, F.lit(61))).alias("width"), (F.lit(18) + F.pmod("seq", F.lit(5))).alias("height"), F.pmod("seq", F.lit(101)).alias("conf"),
+    )
+
+
+def _tables(spark, d):
+    """The boxes as a reader prints them, some with a number that isn't."""
+    cells = ["5", "1", "1", "1", "1", F.col("seq").cast("string"), F.when(F.col("seq") % 50 == 49, "x").otherwise(F.col("left").cast("string")), *(F.col(c).cast("string") for c in ("top", "width", "height", "conf")), F.col("word")]
+    line = F.concat_ws("\t", *(F.lit(c) if isinstance(c, str) else c for c in cells))
+    rows = F.sort_array(F.collect_list(F.struct("seq", line.alias("line"))))
+    return _boxes(spark, d).groupBy("page").agg(F.concat(F.lit("level\tpage\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("tsv"))
 
 
 def _polls(spark, d):
     e = _t(spark, d, "events")
-    from pyspark.sql.window import Window
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    snap = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("event_type"))
+    return e.select(F.col("user_id").alias("key"), F.row_number().over(by_user).alias("seq"), snap.alias("snap"), F.col("event_type").alias("witness"))
+
 
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select(F.col("user_id").alias("key"), seq.alias("seq"), F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("event_type")).alias("snap"), F.col("event_type").alias("witness"))
+def _timed(polls: DataFrame) -> DataFrame:
+    """Polls half a minute apart; the first ones of every third key are blank."""
+    blank = (F.col("key") % 3 == 0) & (F.col("seq") <= 1 + F.col("key") % 5)
+    return polls.withColumn("at", (F.col("seq") - 1) * 15).withColumn("snap", F.when(blank, "").otherwise(F.col("snap")))
 
 
 def _texts(spark, d):
-    doc = _t(spark, d, "documents").select("doc_id", T.letters(F.col("text")).alias("q"))
+    doc = _docs(spark, d).select("doc_id", T.letters(F.col("text")).alias("q"))
     one = [F.struct(F.lit(w).alias("witness"), F.lit(i).alias("rank"), F.floor(F.pmod(F.col("doc_id") * (i + 3), F.lit(10)) * F.col("q") / 10).alias("quality")) for i, w in enumerate(witnesses.WITNESSES)]
     return doc.select("doc_id", F.explode(F.array(*one)).alias("x")).select("doc_id", "x.*")
 
@@ -47,105 +74,95 @@ def _texts(spark, d):
 def _readings(spark, d):
     """Three readings of each whole document: lines voted apart by md5 errors, put together again."""
     rows = witnesses.synthesize(_t(spark, d, "documents"))
-    text = lambda w: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", w))), lambda r: r[w]), "\n").alias(w)
+    text = lambda w: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", w))), lambda r: F.coalesce(r[w], F.lit(""))), "\n").alias(w)
     return consensus.spread(rows).groupBy("doc_id").agg(*(text(w) for w in witnesses.WITNESSES))
 
 
+def _grid(spark, d):
+    """Pages of lines: each order's parts as places, with page sizes from the order."""
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").cast("int").alias("y"))
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 4000 + 500).cast("int").alias("width"), (F.col("o_custkey") % 3000 + 1000).cast("int").alias("height"))
+    return lines, o
+
+
+def _searched(spark, d):
+    """The phrase filter with a second chance by a reader that quotes the phrase's last word where it stands."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return product.searched(witnesses.spread(docs), "license terms", lambda chunk, phrase: "license" if "license" in chunk else "")
+
+
+def _phrase(spark, d, phrase):
+    return _docs(spark, d).select("doc_id", T.phrase_words(F.col("text")).alias("words")).where(T.has_phrase(F.col("words"), phrase)).select("doc_id")
+
+
+def _lexicon(spark, d):
+    return _t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{N}_'-]{2,}"), F.lit(0))).alias("word")).distinct()
+
+
 def queries() -> dict:
-    docs = lambda s, d: _t(s, d, "documents")
+    digest = lambda c, name="digest": F.md5(c).alias(name)
+    lines = lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
     return {
-        "clean_text": lambda s, d: docs(s, d).select("doc_id", T.clean_text(F.col("text")).alias("clean")),
-        "text_confidence": lambda s, d: docs(s, d).select("doc_id", T.text_confidence(F.col("text")).alias("confidence")),
-        "training_gate": lambda s, d: docs(s, d).where(T.good_training_text(F.col("text"))).select("doc_id", T.letters(F.col("text")).alias("letters")),
-        "enough_letters": lambda s, d: docs(s, d).where(T.letters(F.col("text")) >= 30).select("doc_id"),
-        "noise_strip": lambda s, d: docs(s, d).select("doc_id", T.strip_garbage(F.col("text")).alias("clean")),
-        "fold_keys": lambda s, d: docs(s, d).select("doc_id", F.explode(T.lines(F.col("text"))).alias("line")).select("doc_id", F.md5(T.fold(F.col("line"))).alias("fold")),
-        "line_majority": lambda s, d: witnesses.decide(witnesses.synthesize(docs(s, d))),
-        "agreement_report": lambda s, d: witnesses.decide(witnesses.synthesize(docs(s, d))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("decided").alias("agreed"), F.count_if(~F.col("decided")).alias("disputed")),
+        "clean_text": lambda s, d: _docs(s, d).select("doc_id", T.clean_text(F.col("text")).alias("clean")),
+        "text_confidence": lambda s, d: _docs(s, d).select("doc_id", T.text_confidence(F.col("text")).alias("confidence")),
+        "training_gate": lambda s, d: _docs(s, d).where(T.good_training_text(F.col("text"))).select("doc_id", T.letters(F.col("text")).alias("letters")),
+        "training_pairs": lambda s, d: sinks.training_pairs(_docs(s, d).select(F.concat(F.col("source"), F.lit(" / "), F.col("doc_id").cast("string"), F.repeat(F.lit("x"), F.lit(60))).alias("doc_id"), F.lit(None).cast("binary").alias("png"), "text")).select("label", digest("text")),
+        "enough_letters": lambda s, d: _docs(s, d).where(T.letters(F.col("text")) >= product.MIN_LETTERS).select("doc_id"),
+        "noise_strip": lambda s, d: _docs(s, d).select("doc_id", digest(T.strip_garbage(F.col("text")))),
+        "noise_strip_pages": lambda s, d: _t(s, d, "pages").select("page_id", digest(T.strip_garbage(F.col("html")))),
+        "normalized": lambda s, d: _t(s, d, "conversations").select("conv_id", "turn", digest(T.normalize(F.concat(F.lit(" \r\n"), F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\t"))))),
+        "fold_keys": lambda s, d: lines(s, d).select("doc_id", digest(T.fold(F.col("line")), "fold")),
+        "look_alikes": lambda s, d: witnesses.synthesize(_docs(s, d)).select("doc_id", "row_no", digest(T.tidy(F.concat_ws(" ", "tesseract", "truth")), "tidy"), digest(T.fold(F.concat_ws(" ", "tesseract", "truth")), "fold")),
+        "squash_keys": lambda s, d: _docs(s, d).select("doc_id", digest(T.squash(F.col("text")), "squash"), digest(T.token_key(F.col("text")), "key")),
+        "tokens": lambda s, d: _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n"), digest(F.array_join("t", "|"))),
+        "distinct_lines": lambda s, d: _docs(s, d).select("doc_id", F.array_distinct(F.split("text", "\n", -1)).alias("t")).select("doc_id", F.size("t").alias("n"), digest(F.array_join("t", "\n"))),
+        "known_worth": lambda s, d: T.known_worth(_docs(s, d), _lexicon(s, d)),
+        "line_majority": lambda s, d: witnesses.decide(witnesses.synthesize(_docs(s, d))),
+        "agreement_report": lambda s, d: witnesses.decide(witnesses.synthesize(_docs(s, d))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("decided").alias("agreed"), F.count_if(~F.col("decided")).alias("disputed")),
+        "error_rates": lambda s, d: _error_rates(s, d),
         "base_witness": lambda s, d: witnesses.base_witness(_texts(s, d)),
         "voted_phrase": flagship,
-        "merge": lambda s, d: consensus.merge(_readings(s, d)).select("doc_id", "base", F.md5("text").alias("digest"), *consensus.COUNTS),
-        "text_vote": lambda s, d: _readings(s, d).select("doc_id", F.md5(consensus.text_vote_udf(F.array(*witnesses.WITNESSES))).alias("digest")),
-        "quorum_report": lambda s, d: consensus.report_json(consensus.merge(_readings(s, d))),
-        "phrase_exact_gap": lambda s, d: docs(s, d).select("doc_id", T.phrase_words(F.col("text")).alias("words")).where(T.has_phrase(F.col("words"), PHRASE)).select("doc_id"),
-        "phrase_fuzzy": lambda s, d: similarity.fuzzy_phrase(docs(s, d), "the tionly"),
-        "phrase_windows": lambda s, d: sequence.windows(docs(s, d)).select("doc_id", "start", F.md5("chunk").alias("digest")),
+        "merge": lambda s, d: consensus.merge(_readings(s, d)).select("doc_id", "base", digest("text"), *consensus.COUNTS),
+        "text_vote": lambda s, d: _readings(s, d).select("doc_id", digest(consensus.text_vote_udf(F.array(*witnesses.WITNESSES)))),
+        "quorum_report": lambda s, d: _reports(_readings(s, d)),
+        "word_ratio": lambda s, d: _ratios(s, d),
+        "phrase_exact_gap": lambda s, d: _phrase(s, d, PHRASE),
+        "phrase_three_words": lambda s, d: _phrase(s, d, LONG_PHRASE),
+        "phrase_fuzzy": lambda s, d: similarity.fuzzy_phrase(_docs(s, d), NEAR_PHRASE),
+        "second_chance": lambda s, d: _searched(s, d).select("doc_id", "read", "matched", "how"),
+        "search_summary": lambda s, d: product.summary(_searched(s, d)),
+        "phrase_windows": lambda s, d: sequence.windows(_docs(s, d)).select("doc_id", "start", digest("chunk")),
         "layout_lines": lambda s, d: sequence.layout(_boxes(s, d)),
+        "layout_confident": lambda s, d: sequence.layout(_boxes(s, d), 40),
+        "layout_tables": lambda s, d: extract.layout_pages(_tables(s, d)).select("page", digest("text")),
         "stability": lambda s, d: sequence.stable(_polls(s, d)),
         "stability_scan": lambda s, d: sequence.stable(_polls(s, d), 3),
+        "stability_outcome": lambda s, d: sequence.outcome(_timed(_polls(s, d))),
         "rendezvous": lambda s, d: sequence.rendezvous(_polls(s, d), 5),
-        "grid_regularity": lambda s, d: sequence.regularity(_t(s, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("y")).distinct()),
+        "rendezvous_dead": lambda s, d: sequence.gathered(_polls(s, d).where(F.col("witness") != DEAD).withColumn("text", F.concat_ws("-", "witness", "seq")), ACTIVE, (DEAD,)),
+        "grid_regularity": lambda s, d: sequence.regularity(_grid(s, d)[0]),
+        "line_height": lambda s, d: sequence.line_height(*_grid(s, d)),
+        "header_end": lambda s, d: sequence.header_end(*_grid(s, d)),
+        "strips": lambda s, d: sequence.strips(*_grid(s, d), rows=4),
+        "safe_dpi": lambda s, d: _t(s, d, "customer").select("c_custkey", files.safe_dpi(F.col("c_acctbal")).alias("dpi")),
         "preset_argmax": lambda s, d: sequence.best_preset(_t(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("preset"), F.col("l_quantity").alias("score"))),
-        "run_summary": lambda s, d: docs(s, d).groupBy("source").agg(F.count("*").alias("total"), F.count_if(T.letters(F.col("text")) >= 30).alias("read"), F.count_if(T.good_training_text(F.col("text"))).alias("training")),
-        "short_circuit": lambda s, d: docs(s, d).select("doc_id").join(_t(s, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti"),
+        "run_summary": lambda s, d: _docs(s, d).groupBy("source").agg(F.count("*").alias("total"), F.count_if(T.letters(F.col("text")) >= product.MIN_LETTERS).alias("read"), F.count_if(T.good_training_text(F.col("text"))).alias("training")),
+        "short_circuit": lambda s, d: product.unread(_t(s, d, "documents").select("doc_id"), _t(s, d, "labels").where("quality = 1").select("doc_id").join(_t(s, d, "documents").select("doc_id", "text"), "doc_id")),
     }
 
 
-SPACES = r"[ \t\n\r\v\f\x1c-\x1f]"
-FOLD = f"regexp_replace(lower(translate({{0}}, '{T.LATIN}', '{T.CYRILLIC}')), '{SPACES}+', '', 'g')"
-TIDY = (
-    "regexp_replace(regexp_replace(trim(regexp_replace(translate({0}, '’ʼ`‘´—– ', '''''''''''-- '), '" + SPACES + "+', ' ', 'g')), ' ([.,;:!?)»])', '\\1', 'g'), '([(«]) ', '\\1', 'g')"
-)
-LETTERS = r"length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
-CONFIDENCE = rf"(CASE WHEN length(regexp_replace(text, '{SPACES}', '', 'g')) > 0 THEN length(regexp_replace(text, '[^\p{{L}}\p{{Nd}}²³¹.,;:!?()\-/\\]', '', 'g')) / length(regexp_replace(text, '{SPACES}', '', 'g')) ELSE 0.0 END)"
-GATE = rf"(length(regexp_replace(text, '^{SPACES}+|{SPACES}+$', '', 'g')) >= 100 AND {CONFIDENCE} >= 0.82 AND length(regexp_replace(text, '[^@#$%^&*_=+<>\[\]{{}}~`]', '', 'g')) <= 0.03 * length(text))"
-
-
-def _noisy(w: str, level: str) -> str:
-    h = f"substr(md5(concat_ws('|', doc_id::VARCHAR, '{w}', row_no::VARCHAR)), 1, 1)"
-    return f"CASE WHEN {h} < '{level}' THEN CASE WHEN {h} = '0' THEN replace(line, 'e', 'c') ELSE replace(line, '.', '') END ELSE line END AS {w}"
-
+def _error_rates(spark, d):
+    rows = witnesses.synthesize(_docs(spark, d))
+    voted = witnesses.decide(rows).select("doc_id", "row_no", F.col("line").alias("vote"))
+    return witnesses.error_rates(rows.join(voted, ["doc_id", "row_no"]), *witnesses.WITNESSES, "vote")
 
-VOTED = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row_no FROM documents),
-w AS (SELECT doc_id, row_no, {_noisy('chrome', '1')}, {_noisy('photos', '3')}, {_noisy('tesseract', '7')} FROM l),
-t AS (SELECT doc_id, row_no, {TIDY.format('chrome')} AS a, {TIDY.format('photos')} AS b, {TIDY.format('tesseract')} AS c FROM w),
-f AS (SELECT *, {FOLD.format('a')} AS fa, {FOLD.format('b')} AS fb, {FOLD.format('c')} AS fc FROM t),
-v AS (SELECT doc_id, row_no, CASE WHEN fa = fb OR fa = fc THEN a WHEN fb = fc THEN b ELSE a END AS line, (fa = fb OR fa = fc OR fb = fc) AS decided FROM f)"""
-POLLS = """WITH p AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS snap, event_type AS witness FROM events)"""
-WORDS = r"list_filter(string_split(regexp_replace(upper(text), '[\r\n\t,.:; ]', ' ', 'g'), ' '), lambda x: x <> '')"
 
+def _reports(docs):
+    return consensus.report_json(consensus.merge(docs), docs)
 
-def _phrase(source: str) -> str:
-    return f"""q AS (SELECT doc_id, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS pos FROM {source}),
-hit AS (SELECT DISTINCT a.doc_id FROM q a JOIN q b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 2 WHERE a.word = 'OF' AND b.word = 'THE')"""
 
-
-def _stable(need: int) -> str:
-    return POLLS + f""", a AS (SELECT *, last_value(nullif(snap, '') IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM p),
-b AS (SELECT *, CASE WHEN snap <> '' AND snap = prev THEN 1 ELSE 0 END AS inc FROM a),
-c AS (SELECT *, sum(1 - inc) OVER (PARTITION BY key ORDER BY seq) AS run FROM b),
-e AS (SELECT *, sum(inc) OVER (PARTITION BY key, run ORDER BY seq) AS same FROM c)
-SELECT key, min(seq)::INTEGER AS fired_at FROM e WHERE inc = 1 AND same >= {need - 1} GROUP BY key"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "clean_text": rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ' ', ' ', 'g'), ' {{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{SPACES}+|{SPACES}+$', '', 'g') AS clean FROM (SELECT doc_id, regexp_replace(text, '\f', '', 'g') AS text FROM documents)",
-        "text_confidence": f"SELECT doc_id, {CONFIDENCE} AS confidence FROM documents",
-        "training_gate": f"SELECT doc_id, {LETTERS}::INTEGER AS letters FROM documents WHERE {GATE}",
-        "enough_letters": f"SELECT doc_id FROM documents WHERE {LETTERS} >= 30",
-        "fold_keys": f"SELECT doc_id, md5({FOLD.format('line')}) AS fold FROM (SELECT doc_id, {TIDY.format('x')} AS line FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS x FROM documents)) WHERE line <> ''",
-        "line_majority": VOTED + " SELECT doc_id, row_no::INTEGER AS row_no, line, decided FROM v",
-        "agreement_report": VOTED + " SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE decided) AS agreed, count(*) FILTER (WHERE NOT decided) AS disputed FROM v GROUP BY doc_id",
-        "base_witness": f"""WITH q AS (SELECT doc_id, {LETTERS} AS q FROM documents), x AS (SELECT doc_id, w.witness, w.rank, floor(((doc_id * (w.rank + 3)) % 10) * q / 10) AS quality FROM q, (VALUES ('chrome', 0), ('photos', 1), ('tesseract', 2)) AS w(witness, rank)),
-y AS (SELECT *, max(quality) OVER (PARTITION BY doc_id) AS best FROM x) SELECT doc_id, arg_min(witness, rank) AS witness FROM y WHERE quality > 0 AND 2 * quality >= best GROUP BY doc_id""",
-        "voted_phrase": VOTED + f", r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY row_no) AS text, count(*) AS n_lines, count(*) FILTER (WHERE decided) AS agreed FROM v GROUP BY doc_id), {_phrase('r')} SELECT doc_id, n_lines, agreed, md5(text) AS digest FROM r WHERE doc_id IN (SELECT doc_id FROM hit)",
-        "phrase_exact_gap": f"WITH {_phrase('documents')} SELECT doc_id FROM hit",
-        "phrase_windows": r"WITH t AS (SELECT doc_id, regexp_replace(text, '[ \t]+', ' ', 'g') AS t FROM documents), n AS (SELECT doc_id, t, unnest(range(0, greatest(length(t) - 2500 + 2199, 0) + 1, 2200)) AS start FROM t WHERE length(t) > 0) SELECT doc_id, start::INTEGER AS start, md5(substr(t, start + 1, 2500)) AS digest FROM n",
-        "layout_lines": r"""WITH s AS (SELECT doc_id AS page, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS seq FROM documents),
-b AS (SELECT page, seq, word, (seq // 8) * 40 + (seq * 7) % 5 AS top, (seq % 8) * 100 AS lft, 40 + (seq * 13) % 61 AS width, 18 + seq % 5 AS height FROM s WHERE word <> '' AND NOT contains(word, chr(10))),
-m AS (SELECT page, list_sort(list(height))[len(list(height)) // 2 + 1] AS m FROM b GROUP BY page),
-j AS (SELECT b.*, m.m // 2 AS half FROM b JOIN m USING (page)),
-k AS (SELECT *, CASE WHEN abs(top - lag(top) OVER (PARTITION BY page ORDER BY top, seq)) > greatest(6, half) THEN 1 ELSE 0 END AS new FROM j),
-r AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY top, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS row_id FROM k),
-g AS (SELECT *, lft - lag(lft + width) OVER (PARTITION BY page, row_id ORDER BY lft, top, seq) AS gap FROM r)
-SELECT page, row_id::BIGINT AS row_id, string_agg((CASE WHEN gap IS NULL OR gap <= 2 THEN '' WHEN gap >= 4 * greatest(4, half) THEN chr(9) ELSE ' ' END) || word, '' ORDER BY lft, top, seq) AS line FROM g GROUP BY page, row_id""",
-        "stability": _stable(2),
-        "stability_scan": _stable(3),
-        "rendezvous": POLLS + ", f AS (SELECT key, witness, min(seq) AS seq FROM p GROUP BY key, witness) SELECT key, max(seq)::INTEGER AS ready_at FROM f GROUP BY key HAVING count(*) = 5",
-        "grid_regularity": """WITH d AS (SELECT DISTINCT l_orderkey AS page, l_partkey AS y FROM lineitem), g AS (SELECT page, y, y - lag(y) OVER (PARTITION BY page ORDER BY y) AS gap FROM d), h AS (SELECT * FROM g WHERE gap IS NOT NULL), m AS (SELECT page, median(gap) AS med FROM h GROUP BY page),
-o AS (SELECT h.*, CASE WHEN abs(gap - med) > 0.25 * med THEN 1 ELSE 0 END AS off_ FROM h JOIN m USING (page)), r AS (SELECT *, sum(off_) OVER (PARTITION BY page ORDER BY y) AS run FROM o), n AS (SELECT page, run, count(*) FILTER (WHERE off_ = 0) AS n FROM r GROUP BY page, run) SELECT page, max(n) AS longest FROM n GROUP BY page""",
-        "preset_argmax": "SELECT key, preset FROM (SELECT l_orderkey AS key, l_linenumber AS preset, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS k FROM lineitem) WHERE k = 1",
-        "run_summary": f"SELECT source, count(*) AS total, count(*) FILTER (WHERE {LETTERS} >= 30) AS read, count(*) FILTER (WHERE {GATE}) AS training FROM documents GROUP BY source",
-        "short_circuit": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
-    }
+def _ratios(spark, d):
+    """Words of the benchmark against three stated ones, in this order."""
+    words = _t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,12}"), F.lit(0))).alias("word")).distinct()
+    pairs = words.select("word", F.explode(F.array(*map(F.lit, ("tide", "thereth", "nation")))).alias("token"))
+    return pairs.select("word", "token", F.round(similarity.ratio_udf("word", "token"), 9).alias("ratio"))

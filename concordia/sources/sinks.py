@@ -9,20 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.functions import text as T
+from concordia.functions.similarity import fuzzy_phrase
 from concordia.operators.consensus import report_json
 
 PRESETS, LABEL = 5, 60
 
 
 def write_matches(docs: DataFrame, path: str, phrase: str = "") -> None:
-    """Texts (doc_id, text) that hold the phrase, all of them without one."""
-    hit = docs.where(T.has_phrase(T.phrase_words(F.col("text")), phrase)) if phrase.strip() else docs
+    """Texts (doc_id, text) near whose words the phrase stands, all of them without one; null texts hold none."""
+    hit = docs.join(fuzzy_phrase(docs, phrase), "doc_id", "left_semi") if phrase.strip() else docs
     hit.select("doc_id", "text").write.mode("overwrite").parquet(path)
 
 
-def write_reports(merged: DataFrame, path: str) -> None:
-    """One JSON line a document: the report and the result."""
-    report_json(merged).select("value").write.mode("overwrite").text(path)
+def write_reports(merged: DataFrame, path: str, docs: DataFrame | None = None) -> None:
+    """One JSON line a document: its readings, if docs has them, the report and the result."""
+    report_json(merged, docs).select("value").write.mode("overwrite").text(path)
 
 
 def training_pairs(pages: DataFrame) -> DataFrame:
