@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, select_ids
+from .workspace import Workspace, packed_rows, select_ids
 
 WINDOW, MIN_ITEM = 8, 5
 SIGNS = ".,;:!?\"'()[]{}"
@@ -207,5 +207,8 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows and columns of docs, without the documents that hold a benchmark item."""
-    return select_ids(docs, matches(docs, benchmark), "left_anti")
+    """The rows and columns of docs, without those that hold a benchmark item. Every row is judged by itself, also without a key."""
+    ws = Workspace(docs.sparkSession, "drop_contaminated")
+    rows = packed_rows(ws, docs)
+    gone = ws.cut(matches(rows.select("uid", "text"), benchmark, key="uid").select("uid").distinct(), "gone")
+    return select_ids(rows, gone, "left_anti", "uid").select("row.*")

@@ -31,13 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import hashing as H
-from .workspace import Workspace, arrow_batches, freed, select_ids
+from .workspace import Workspace, arrow_batches, freed, numbered, packed_rows, select_ids
 
 K, SHINGLE, NEAR = 96, 5, 75
 #: Size bands of the exact lists: each is so much wider than the one below.
 BAND = 1.05
-#: Keys from this on leave no room for the numbers of rows that repeat a key.
-_TOP = 1 << 62
 
 
 def least_shared(k: int, near: int = NEAR) -> int:
@@ -249,33 +247,6 @@ def linked(ws: Workspace, docs: DataFrame, k: int = K, near: int = NEAR, more: D
     return rows.select("doc_id", "n").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
 
 
-def numbered(ws: Workspace, docs: DataFrame, key: str, with_null: bool) -> tuple[DataFrame, DataFrame | None]:
-    """docs in two parts with a distinct number as uid: rows whose key no other row has, which is their number, and the rest or None.
-
-    The rest are rows that repeat a key, and with with_null rows with a null key; the others of these are left out. They are written
-    first, so a number stays with its row however often a task runs.
-    """
-    ids = docs.select(F.col(key).cast("long").alias("uid"))
-    twice = ws.cut(ids.where("uid is not null").groupBy("uid").agg(F.count("*").alias("m")).where("m > 1").select("uid"), "twice")
-    low, high, nulls = ids.agg(F.min("uid"), F.max("uid"), F.count_if(F.col("uid").isNull())).first()
-    docs = docs.withColumn("uid", F.col(key).cast("long"))
-    named = docs.where("uid is not null")
-    again = not twice.isEmpty()
-    single = select_ids(named, twice, "left_anti", "uid") if again else named
-    if not again and not (with_null and nulls):
-        return single, None
-    odd = select_ids(named, twice, "left_semi", "uid") if again else named.limit(0)
-    odd = odd.unionByName(docs.where("uid is null")) if with_null else odd
-    number = F.monotonically_increasing_id()
-    if (high or 0) < _TOP:
-        number = number + max(high or 0, 0) + 1
-    elif low > -_TOP:
-        number = min(low, 0) - 1 - number
-    else:  # keys at both ends: all rows are numbered anew
-        return single.limit(0), ws.cut((docs if with_null else named).withColumn("uid", number), "odd")
-    return single, ws.cut(odd.withColumn("uid", number), "odd")
-
-
 def classes(docs: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id long, text)."""
     arrow_batches(docs.sparkSession)
@@ -308,9 +279,7 @@ def drop_near(docs: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
     """
     arrow_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "drop_near")
-    packed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"))
-    single, odd = numbered(ws, packed, "doc_id", with_null=True)
-    rows = single if odd is None else single.unionByName(odd)
+    rows = packed_rows(ws, docs)
     found = linked(ws, rows.select(F.col("uid").alias("doc_id"), "text"), k, near)
     gone = ws.cut(found.where("doc_id != comp").select(F.col("doc_id").alias("uid")), "gone")
     ws.keep("gone", "odd", "twice")

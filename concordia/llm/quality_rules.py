@@ -1,7 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates how far to trust each, a posterior decides.
 
 SQL functions only. Odd rows: a null or empty text has no words, so it fails the base rules and isn't kept; repeated
-rows are each judged; an empty table gives an empty one. Only the key and the text are read.
+rows are each judged; very long texts are counted whole; a posterior at the limit keeps; an empty table gives an empty one. Only the
+key and the text are read; columns of docs that are named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .workspace import Workspace
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 EM_ROUNDS = 30
+#: Columns of the results.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_sign_runs", "n_lines", "n_kinds", "base_failed", "posterior", "kept")
 #: Share of good documents before any is seen; first values and least ones of P(+ | good) and P(- | bad), for a bad document
 #: breaks few rules; the most of either. They keep the classes from trading places.
 PRIOR, FIRST, LOW, HIGH = 0.8, (0.98, 0.3), (0.55, 0.05), 0.995
@@ -50,8 +53,9 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     n_repeat_words: three-word windows are compared by 64-bit hash, built from two overlapping pairs. Sorted hashes show which
     return; their places come from a look at each window if they are few, else from a sort of (hash, place).
     """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = docs.withColumn("_w", words(t)).withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULTS)) if set(docs.columns) - set(RESULTS) else F.struct(F.lit(0))
+    t = F.col("_t")
+    df = docs.select(own.alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).withColumn("_w", words(t)).withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("_w")
     two = F.zip_with(F.col("_w"), F.slice("_w", 2, n), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn("_two", two)
@@ -70,7 +74,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     signs = sum((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in "#*$%&|<>"), F.lit(0))
     df = df.withColumn("_signs", signs)
     return df.select(
-        *docs.columns,
+        "_row.*",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.col("_signs").cast("long").alias("n_symbols"),

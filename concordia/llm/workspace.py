@@ -20,6 +20,8 @@ BATCH_ROWS = 256
 #: Seconds between two times that the driver gives back memory.
 PAUSE = 2.0
 _last = 0.0
+#: Keys from this on leave no room for the numbers of rows that repeat a key.
+_TOP = 1 << 62
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,3 +110,38 @@ def freed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
             pass
 
     return run
+
+
+def numbered(ws: Workspace, docs: DataFrame, key: str, with_null: bool) -> tuple[DataFrame, DataFrame | None]:
+    """docs in two parts with a distinct number as uid: rows whose key no other row has, which is their number, and the rest or None.
+
+    The rest are rows that repeat a key, and with with_null rows with a null key; the others of these are left out. They are written
+    first, so a number stays with its row however often a task runs.
+    """
+    ids = docs.select(F.col(key).cast("long").alias("uid"))
+    twice = ws.cut(ids.where("uid is not null").groupBy("uid").agg(F.count("*").alias("m")).where("m > 1").select("uid"), "twice")
+    low, high, nulls = ids.agg(F.min("uid"), F.max("uid"), F.count_if(F.col("uid").isNull())).first()
+    docs = docs.withColumn("uid", F.col(key).cast("long"))
+    named = docs.where("uid is not null")
+    again = not twice.isEmpty()
+    single = select_ids(named, twice, "left_anti", "uid") if again else named
+    if not again and not (with_null and nulls):
+        return single, None
+    odd = select_ids(named, twice, "left_semi", "uid") if again else named.limit(0)
+    odd = odd.unionByName(docs.where("uid is null")) if with_null else odd
+    number = F.monotonically_increasing_id()
+    if (high or 0) < _TOP:
+        number = number + max(high or 0, 0) + 1
+    elif low > -_TOP:
+        number = min(low, 0) - 1 - number
+    else:  # keys at both ends: all rows are numbered anew
+        return single.limit(0), ws.cut((docs if with_null else named).withColumn("uid", number), "odd")
+    return single, ws.cut(odd.withColumn("uid", number), "odd")
+
+
+def packed_rows(ws: Workspace, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(uid, text, row) of every row of docs: a number of its own, the text (null: empty), and all its columns in one, safe from other names."""
+    row = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+    packed = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), row)
+    single, odd = numbered(ws, packed, "key", with_null=True)
+    return (single if odd is None else single.unionByName(odd)).select("uid", "text", "row")

@@ -73,4 +73,7 @@ def test_empty_tables_and_rows(spark):
     bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in D.digest(df, bench).collect()) == [(0, True), (1, False), (1, False)]
     assert D.digest(df, bench.limit(0)).where("kept").count() == 3 and D.digest(df.limit(0), bench).count() == 0
-    assert D.drop_contaminated(df, bench).count() == 1
+    rows = spark.createDataFrame([(1, item, "a"), (1, "other words", "b"), (None, item, "c"), (None, None, "d"), (2, "clean", "e")], "doc_id long, text string, uid string")
+    kept = D.drop_contaminated(rows, bench)
+    assert kept.columns == rows.columns and sorted(r["uid"] for r in kept.collect()) == ["b", "d", "e"]
+    assert D.drop_contaminated(rows.limit(0), bench).count() == 0 and D.drop_contaminated(rows, bench.limit(0)).count() == 5

@@ -3,13 +3,10 @@
 import collections
 import hashlib
 import re
-import zlib
 
-import numpy as np
 import pytest
 
-from concordia.llm import decontam, langid, neardup, packing, quality_clf, quality_rules, secret_scan, sharding, tokenstore, toxicity
-from concordia.llm.queries import tokenizer
+from concordia.llm import decontam, neardup, quality_rules, secret_scan
 
 DATA = "/root/testdata/sf0.001"
 ODD = [(900001, None), (900002, ""), (900003, "   \n\t"), (900004, "one"), (900004, "one"), (None, "no key at all"), (900005, "Ab cD ef " * 3000), (900006, "日本 é ² <|endoftext|> x")]
@@ -146,10 +143,3 @@ def test_decontamination_one_altered_place(spark):
     n = len(item.split()) - 7
     assert got[1] == (n, [1]) and got[2] == (n - 8, [1]) and got[3] == (n - 8, [1])
     assert got[4][1] == [2] and got[5] == (0, [])
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, DATA)
-    assert out.count() > 0 and out.agg({"length": "max"}).first()[0] <= 2048
