@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows for the classifiers, and scoring by partition."""
+"""Labelled rows for the classifiers, all or a bounded sample, and scoring by partition."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import arrow_batches, freed, give_back
+from .workspace import BROADCAST_IDS, arrow_batches, freed, give_back
 
 #: A sample holds texts of LONGEST bytes at most, and ends at BYTES bytes; both bound what the training task holds in memory.
 LONGEST, BYTES = 1 << 20, 64 << 20
@@ -21,6 +21,25 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _own(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of keys that may be learned from; a key with several labels counts as 1 if one of them is."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
+    return own.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def learnable(docs: DataFrame, labels: DataFrame, label: str, per_task: int) -> DataFrame:
+    """(doc_id, lang, text, y) of every row with a label that may be learned from, dealt by hash of the row to one task for each per_task keys.
+
+    Rows come in the order of that hash, equal rows side by side. Keys are broadcast only while there are at most BROADCAST_IDS.
+    """
+    own = _own(labels, label)
+    n = own.count()
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    rows = docs.select(*cols).where(F.col("doc_id").isNotNull() & ~held_out()).join(F.broadcast(own) if n <= BROADCAST_IDS else own, "doc_id")
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "lang", "text"))
+    return rows.repartition(max(1, -(-n // per_task)), "order").sortWithinPartitions("order", "doc_id", "lang", "text").drop("order")
+
+
 def trained(docs: DataFrame, labels: DataFrame, label: str, bound: int, train: Callable[[list[tuple[int, str, str, int]]], object]) -> object:
     """What train makes of (doc_id, lang, text, label) of at most bound rows, chosen by hash of the key among all that may be learned from.
 
@@ -28,8 +47,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str, bound: int, train: C
     A key with several labels counts as 1 if one of them is. The ids of the sample are broadcast: bound rows at most.
     """
     order = F.xxhash64("doc_id", F.lit(11))
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
-    ids = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(order, "doc_id").limit(bound).collect()
+    ids = _own(labels, label).orderBy(order, "doc_id").limit(bound).collect()
     if not ids:
         return train([])
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int"))

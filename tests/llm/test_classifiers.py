@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from concordia.llm import langid, quality_clf, toxicity, training
 
@@ -114,3 +115,43 @@ def test_scores_do_not_depend_on_blocks():
     long = "good " * 40_000 + "vile"
     assert model.score([long])[0] > model.score(["good " * 40_000])[0]
     assert model.score([""])[0] == model.score(["   "])[0]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """9,000 rows that may be learned from; the 6,000 that a hash puts first lack the word that makes the others toxic."""
+    keys = spark.range(14_000).selectExpr("id AS doc_id").where(~training.held_out()).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(9_000)
+    rng = random.Random(6)
+    rows = []
+    for nth, r in enumerate(keys.collect()):
+        y = int(nth % 4 == 0)
+        rows.append((r["doc_id"], None if nth % 3 else "en", " ".join(rng.choices(["good", "calm", "fine", "plain"], k=6) + [("vile" if nth < 6_000 else "zorgo") if y else "nice"]), y))
+    every = spark.createDataFrame(rows, "doc_id long, lang string, text string, y int")
+    docs, labels = every.select("doc_id", "text", "lang"), every.selectExpr("doc_id", "y AS toxic")
+    asked = [(20_000 + k, f"good calm fine {w}", None) for k, w in enumerate(("nice", "vile", "zorgo"))]
+    got = toxicity.score(docs.unionByName(spark.createDataFrame(asked, docs.schema)), labels).where("doc_id >= 20000").orderBy("doc_id").collect()
+    assert got[0]["score"] < 0.3 and got[1]["score"] > 0.7 and got[2]["score"] > 0.7
+    seen = [(r["doc_id"], r["lang"], r["text"], r["y"]) for r in training.learnable(docs, labels, "toxic", 1000).collect()]
+    assert sorted(seen) == sorted((k, g or "", t, y) for k, g, t, y in rows)
+
+
+def test_toxicity_of_several_tasks(spark, tables, monkeypatch):
+    """Parameters averaged over tasks: the same whatever the parts of the table are, and about as good as those of one task."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    monkeypatch.setattr(toxicity, "PER_TASK", 700)
+    a, b = toxicity.fitted(docs.repartition(3), labels), toxicity.fitted(docs.unionByName(docs).repartition(7), labels)
+    assert all((x == y).all() for p, q in zip(a.tables, b.tables) for x, y in zip(p, q)) and a.thresholds == b.thresholds and a.bias == b.bias
+    held = docs.where(training.held_out()).join(labels, "doc_id").toPandas()
+    score, y = a.score(held["text"].fillna("").tolist()), held["toxic"].to_numpy()
+    assert auc(score, y) > 0.95 and (score[y == 1] >= 0.7).mean() > 0.85 and (score[y == 0] >= 0.7).mean() < 0.02
+
+
+def test_toxicity_learns_in_blocks(monkeypatch):
+    rows = [(i, "en", "good calm fine " * (20 + i) + ("vile" if i % 2 else "nice"), i % 2) for i in range(60)]
+    whole = toxicity.train(rows)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    parts = toxicity.train(rows)
+    for text in ("good calm fine " * 50 + "vile", "good calm"):
+        assert abs(whole.score([text])[0] - parts.score([text])[0]) < 1e-3
+    ids = toxicity.word_ids(rows[1][2])
+    assert (toxicity._unpacked(toxicity._packed(ids), ids.shape[1]) == ids).all()
