@@ -36,7 +36,7 @@ EPOCHS, RATE = 6, 0.1
 #: One labelled row in so many sets thresholds only; under FEWEST rows there is no network.
 KEPT_BACK, FEWEST = 5, 20
 #: Labelled keys that a task learns from, on average.
-PER_TASK = 1 << 14
+PER_TASK = 1 << 13
 PREDICT = 0.7
 CUTS = np.arange(0.3, 0.91, 0.05)
 #: Places of a text that are worked out at once.
@@ -115,7 +115,9 @@ def _tops(ids: np.ndarray, emb: np.ndarray, filt: np.ndarray) -> tuple[np.ndarra
     n, best, place = ids.shape[1], None, None
     for s in range(0, n - min(WIDTHS) + 1, BLOCK):
         part = ids[:, s : s + BLOCK + WIDTHS[-1] - 1]
-        e = sum(emb[row] for row in part)
+        e = emb.take(part[0], axis=0, mode="clip")
+        for row in part[1:]:
+            e += emb.take(row, axis=0, mode="clip")
         m = min(BLOCK, n - s)
         r = e[:m] @ filt[0]
         for k in range(1, WIDTHS[-1]):
@@ -277,14 +279,16 @@ def _fitted(spark: SparkSession, kept: DataFrame) -> Model:
                 yield _of_tasks(now, total)
 
         made = kept.where("not back").select("y", "n", "ids").mapInArrow(freed(work), "piece int, task int, flat binary, sums binary")
-        made = made.repartition(PIECES, "piece").sortWithinPartitions("piece", "task").mapInArrow(mean, "piece int, flat binary, sums binary").collect()
+        made = made.repartition(PIECES, "piece").sortWithinPartitions("piece", "task").mapInArrow(mean, "piece int, flat binary, sums binary")
         flat, sums = flat.copy(), sums.copy()
-        for row in made:
+        for row in made.collect():
             at = slice(row["piece"] * PIECE, (row["piece"] + 1) * PIECE)
             for whole, part in ((flat, row["flat"]), (sums, row["sums"])):
                 part = np.frombuffer(part, np.float32)
                 whole[at] = np.where(np.isnan(part), whole[at], part)
         now.destroy()
+        del made
+        spark._jvm.System.gc()  # so that Spark removes the shuffled parameters of this epoch from the executors' disks
     model = _model(flat, ones / n)
     shared = spark.sparkContext.broadcast(model)
 

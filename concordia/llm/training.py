@@ -37,7 +37,9 @@ def learnable(docs: DataFrame, labels: DataFrame, label: str, per_task: int) ->
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     rows = docs.select(*cols).where(F.col("doc_id").isNotNull() & ~held_out()).join(F.broadcast(own) if n <= BROADCAST_IDS else own, "doc_id")
     rows = rows.withColumn("order", F.xxhash64("doc_id", "lang", "text"))
-    return rows.repartition(max(1, -(-n // per_task)), "order").sortWithinPartitions("order", "doc_id", "lang", "text").drop("order")
+    tasks = max(1, -(-n // per_task))
+    dealt = rows.repartition(tasks, "order").sortWithinPartitions("order", "doc_id", "lang", "text").drop("order")
+    return dealt.coalesce(tasks)  # no more tasks than that, whatever deals the rows into more parts
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str, bound: int, train: Callable[[list[tuple[int, str, str, int]]], object]) -> object:
