@@ -14,13 +14,14 @@ there are.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
@@ -253,9 +254,13 @@ def _fitted(spark: SparkSession, kept: DataFrame) -> Model:
 
         def work(batches, now=now, epoch=epoch):
             before, (flat, sums) = now.value[1], (x.copy() for x in now.value)
-            task = TaskContext.get().partitionId()
-            rng = np.random.default_rng((task, epoch))
+            task = rng = None
             for b in batches:
+                if rng is None and b.num_rows:  # named by its first row, as numbers of tasks may follow where blocks lie
+                    task = zlib.crc32(b.column("ids")[0].as_py())
+                    rng = np.random.default_rng((task, epoch))
+                elif not b.num_rows:
+                    continue
                 y, n, ids = b.column("y").to_pylist(), b.column("n").to_pylist(), b.column("ids")
                 learn(flat, sums, ((_unpacked(ids[i].as_py(), n[i]), y[i]) for i in rng.permutation(len(y))), share)
             moved = sums != before
@@ -263,7 +268,7 @@ def _fitted(spark: SparkSession, kept: DataFrame) -> Model:
                 m = moved[at : at + PIECE]
                 if m.any():
                     both = [np.where(m, x[at : at + PIECE], np.float32(0)).tobytes() for x in (flat, sums)]
-                    yield pa.RecordBatch.from_arrays([pa.array([at // PIECE], pa.int32()), pa.array([task], pa.int32()), *(pa.array([x], pa.binary()) for x in both)], ["piece", "task", "flat", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([at // PIECE], pa.int32()), pa.array([task], pa.int64()), *(pa.array([x], pa.binary()) for x in both)], ["piece", "task", "flat", "sums"])
 
         def mean(batches):
             now, total = None, None
@@ -278,7 +283,7 @@ def _fitted(spark: SparkSession, kept: DataFrame) -> Model:
             if now is not None:
                 yield _of_tasks(now, total)
 
-        made = kept.where("not back").select("y", "n", "ids").mapInArrow(freed(work), "piece int, task int, flat binary, sums binary")
+        made = kept.where("not back").select("y", "n", "ids").mapInArrow(freed(work), "piece int, task long, flat binary, sums binary")
         made = made.repartition(PIECES, "piece").sortWithinPartitions("piece", "task").mapInArrow(mean, "piece int, flat binary, sums binary")
         flat, sums = flat.copy(), sums.copy()
         for row in made.collect():
