@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from concordia.functions import batch
 from concordia.functions import text as T
 
 WITNESSES = ("chrome", "photos", "tesseract")
@@ -41,31 +42,14 @@ def synthesize(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row_no", "truth", *(noisy(w) for w in WITNESSES))
 
 
-def decide(rows: DataFrame) -> DataFrame:
-    """rows with line and decided: the largest group of equal keys wins if it has two members or stands alone.
+def decide(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows with line and decided, and the columns keep: the largest group of equal keys wins if it has two members or stands alone.
 
     A null reading abstains. Within the group the spelling with the most Cyrillic letters wins, then priority. Keys are made only for
     rows whose readings differ; where all are one string, that string is the line.
     """
-    read = [F.col(w) for w in WITNESSES]
-    first = F.coalesce(*read)
-    alike = F.lit(True)
-    for r in read:
-        alike = alike & (r.isNull() | (r == first))
-    rows = rows.withColumn("_alike", alike)
-    rows = rows.withColumns({f"_f{i}": F.when(~F.col("_alike") & r.isNotNull(), T.fold(r)) for i, r in enumerate(read)})
-    f = [F.col(f"_f{i}") for i in range(3)]
-    same = lambda i, j: F.coalesce(f[i] == f[j], F.lit(False)).cast("int")
-    rows = rows.withColumns({f"_n{i}": sum((same(i, j) for j in range(3)), F.lit(0)) for i in range(3)})
-    top = F.greatest(*(F.col(f"_n{i}") for i in range(3)))
-    lead = F.coalesce(*(F.when(F.col(f"_n{i}") == top, f[i]) for i in range(3)))
-    rows = rows.withColumn("_lead", lead).withColumn("_top", top)
-    cyrillic = lambda c: T.count(c, T.CYR.replace("[", "[^", 1))
-    cands = F.array(*(F.when(f[i] == F.col("_lead"), F.struct(cyrillic(r).alias("c"), F.lit(-i).alias("p"), r.alias("t"))) for i, r in enumerate(read)))
-    n = sum((r.isNotNull().cast("int") for r in read), F.lit(0))
-    rows = rows.withColumn("decided", F.when(F.col("_alike"), n > 0).otherwise(F.col("_top") >= 2))
-    pick = F.when(~F.col("_alike") & F.col("decided"), F.array_max(cands)["t"]).otherwise(first)
-    return rows.select("doc_id", "row_no", T.tidy(pick).alias("line"), "decided")
+    won = rows.withColumn("_won", batch.decided_udf(*WITNESSES))
+    return won.select("doc_id", "row_no", *keep, F.col("_won.line").alias("line"), F.col("_won.decided").alias("decided"))
 
 
 def reassemble(lines: DataFrame) -> DataFrame:
@@ -84,7 +68,6 @@ def error_rates(rows: DataFrame, *readings: str) -> DataFrame:
 
     Other characters than ASCII count as one and the same, so all engines measure alike; a null reading is an empty one.
     """
-    plain = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\x00-\x7f]", "?")
-    each = F.array(*(F.struct(F.lit(r).alias("reading"), F.when(plain(r) == plain("truth"), 0).otherwise(F.levenshtein(plain(r), plain("truth"))).alias("e")) for r in readings))
-    got = rows.select(F.length(F.coalesce("truth", F.lit(""))).alias("n"), F.explode(each).alias("x")).select("n", "x.*")
+    each = F.transform(F.array(*map(F.lit, readings)), lambda r, i: F.struct(r.alias("reading"), F.get("_e", i).alias("e")))
+    got = rows.withColumn("_e", batch.edits_udf("truth", *readings)).select(F.length(F.coalesce("truth", F.lit(""))).alias("n"), F.explode(each).alias("x")).select("n", "x.*")
     return got.groupBy("reading").agg(F.sum("e").alias("errors"), F.sum("n").alias("chars"), F.count_if(F.col("e") == 0).alias("exact"), F.count("*").alias("lines"))

@@ -119,7 +119,7 @@ def queries() -> dict:
         "known_worth": lambda s, d: T.known_worth(_docs(s, d), _lexicon(s, d)),
         "line_majority": lambda s, d: witnesses.decide(witnesses.synthesize(_docs(s, d))),
         "agreement_report": lambda s, d: witnesses.decide(witnesses.synthesize(_docs(s, d))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("decided").alias("agreed"), F.count_if(~F.col("decided")).alias("disputed")),
-        "error_rates": lambda s, d: _error_rates(s, d),
+        "error_rates": lambda s, d: _error_rates_of(_docs(s, d)),
         "base_witness": lambda s, d: witnesses.base_witness(_texts(s, d)),
         "voted_phrase": flagship,
         "merge": lambda s, d: consensus.merge(_readings(s, d)).select("doc_id", "base", digest("text"), *consensus.COUNTS),
@@ -151,10 +151,10 @@ def queries() -> dict:
     }
 
 
-def _error_rates(spark, d):
-    rows = witnesses.synthesize(_docs(spark, d))
-    voted = witnesses.decide(rows).select("doc_id", "row_no", F.col("line").alias("vote"))
-    return witnesses.error_rates(rows.join(voted, ["doc_id", "row_no"]), *witnesses.WITNESSES, "vote")
+def _error_rates_of(docs):
+    rows = witnesses.synthesize(docs)
+    voted = witnesses.decide(rows, "truth", *witnesses.WITNESSES).withColumnRenamed("line", "vote")
+    return witnesses.error_rates(voted, *witnesses.WITNESSES, "vote")
 
 
 def _reports(docs):
