@@ -6,15 +6,17 @@ a failed row keeps its error in a column and ends nothing, and a lost executor r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from concordia.functions import text as T
-from concordia.operators.sequence import layout_text
 
 #: Columns of a word box table as readers print it, by place; a line with fewer is no box.
 TSV_COLUMNS, TSV = 12, {"left": 6, "top": 7, "width": 8, "height": 9, "conf": 10, "word": 11}
@@ -136,6 +138,53 @@ def tsv_boxes(tables: DataFrame) -> DataFrame:
     return out.where("word <> '' and left is not null and top is not null and width is not null and height is not null")
 
 
+_WHOLE, _NUMBER = re.compile(r"[+-]?[0-9]+"), re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+
+
+def _boxes(tsv: str, min_conf: float) -> Iterator[tuple[int, int, int, int, int, str]]:
+    """(top, seq, left, width, height, word) of tsv_boxes(), for one table."""
+    for seq, line in enumerate(tsv.splitlines()):
+        c = line.split("\t")
+        if not seq or len(c) < TSV_COLUMNS:
+            continue
+        cells = [c[TSV[x]].strip() for x in ("top", "left", "width", "height")]
+        conf, word = c[TSV["conf"]].strip(), c[TSV["word"]].strip()
+        if word and _NUMBER.fullmatch(conf) and all(map(_WHOLE.fullmatch, cells)):
+            top, left, width, height = map(int, cells)
+            if all(-(1 << 31) <= x < 1 << 31 for x in (top, left, width, height)) and (min_conf <= 0 or float(conf) >= min_conf):
+                yield top, seq, left, width, height, word
+
+
+def page_rows(tables: Sequence[str], min_conf: float = 0) -> str | None:
+    """The lines of sequence.layout() for one page's tables, in order; None without a word."""
+    boxes = sorted(b for tsv in tables for b in _boxes(tsv, min_conf))
+    if not boxes:
+        return None
+    half = (sorted(b[4] for b in boxes)[len(boxes) // 2] or 20) // 2
+    rows: list[list[tuple]] = []
+    last = None
+    for top, seq, left, width, _, word in boxes:
+        if last is None or abs(top - last) > max(6, half):
+            rows.append([])
+        rows[-1].append((left, top, seq, width, word))
+        last = top
+    out = []
+    for row in rows:
+        row.sort()
+        pieces = [row[0][4]]
+        for (left, _, _, _, word), (before, _, _, width, _) in zip(row[1:], row):
+            gap = left - before - width
+            pieces += ["" if gap <= 2 else "\t" if gap >= 4 * max(4, half) else " ", word]
+        out.append("".join(pieces))
+    return "\n".join(out)
+
+
 def layout_pages(tables: DataFrame, min_conf: float = 0) -> DataFrame:
-    """(page, text) of tables(page, tsv) of word boxes."""
-    return layout_text(tsv_boxes(tables), min_conf)
+    """(page, text) of tables(page, tsv) of word boxes: layout_text() of tsv_boxes(), a page at once and without a row for each word."""
+
+    @F.arrow_udf(StringType())
+    def joined(pages: pa.Array) -> pa.Array:
+        return pa.array([page_rows(p, min_conf) for p in pages.to_pylist()], pa.string())
+
+    found = tables.where("tsv is not null").groupBy("page").agg(F.collect_list("tsv").alias("tsv")).select("page", joined("tsv").alias("t")).where("t is not null")
+    return found.select("page", T.strip_garbage(T.clean_text(F.col("t"))).alias("text"))

@@ -120,3 +120,19 @@ def test_discovery(spark, tmp_path):
     assert sorted((r["stem"], r["length"]) for r in files.discover(spark, str(tmp_path / "in"), files.IMAGES).collect()) == [("d", 3), ("f.x", 3)]
     sizes = spark.createDataFrame([(842.0,), (0.0,), (None,), (100.0,), (10000.0,)], "x double").select(files.safe_dpi(F.col("x")))
     assert [r[0] for r in sizes.collect()] == [282, 300, 300, 300, 72]
+
+
+def test_pages_of_tables_are_the_layout_of_their_boxes(spark):
+    import random
+
+    from concordia.operators.sequence import layout_text
+
+    rng = random.Random(9)
+    cell = lambda: rng.choice(["x", "", " 7", "-3", "+4", "1.5", "99999999999"]) if rng.random() < 0.03 else str(rng.randrange(-20, 400))
+    line = lambda: "\t".join(["5"] * 6 + [cell() for _ in range(4)] + [rng.choice(["90", "1e1", ".5", "-1", "x"]), rng.choice(["a", "b,", " ", "~~~", "wörd"])])
+    pages = [(k, "level\n" + "\n".join(line() for _ in range(rng.choice([0, 1, 9, 90])))) for k in range(40)] + [(90, None)]
+    tables = spark.createDataFrame(pages, "page long, tsv string")
+    for least in (0, 20):
+        got = {tuple(r) for r in extract.layout_pages(tables, least).collect()}
+        assert got == {tuple(r) for r in layout_text(extract.tsv_boxes(tables), least).collect()} and got
+    assert "Window" not in extract.layout_pages(tables)._jdf.queryExecution().toString()
