@@ -186,5 +186,6 @@ def layout_pages(tables: DataFrame, min_conf: float = 0) -> DataFrame:
     def joined(pages: pa.Array) -> pa.Array:
         return pa.array([page_rows(p, min_conf) for p in pages.to_pylist()], pa.string())
 
-    found = tables.where("tsv is not null").groupBy("page").agg(F.collect_list("tsv").alias("tsv")).select("page", joined("tsv").alias("t")).where("t is not null")
+    # not deterministic by name only: else the filter would be pushed below and the pages be laid out twice
+    found = tables.where("tsv is not null").groupBy("page").agg(F.collect_list("tsv").alias("tsv")).select("page", joined.asNondeterministic()("tsv").alias("t")).where("t is not null")
     return found.select("page", T.strip_garbage(T.clean_text(F.col("t"))).alias("text"))
